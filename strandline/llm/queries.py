@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .audio import op2_audio_features
+from .language import op10_language_id
 from .licenses import op1_license_scan
+from .pieces import op4_sentencepiece
+from .quality import op6_quality
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_audio_features, op4_sentencepiece, op6_quality, op7_toxicity, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
