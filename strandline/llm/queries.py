@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .audio import op2_audio_features
+from .jaccard_join import op8_ngram_jaccard_join
 from .language import op10_language_id
 from .licenses import op1_license_scan
+from .neardup_vectors import op5_embedding_dedup
 from .pieces import op4_sentencepiece
 from .quality import op6_quality
 from .toxicity import op7_toxicity
+from .warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_audio_features, op4_sentencepiece, op6_quality, op7_toxicity, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_audio_features, op3_warc, op4_sentencepiece, op5_embedding_dedup, op6_quality, op7_toxicity, op8_ngram_jaccard_join, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
