@@ -18,6 +18,7 @@ from .common import class_sample, id_mod, map_texts, table
 
 BITS = 17
 SURE, WINDOW = 0.97, 300
+LEAST = 0.3  # with four languages no text with a letter scores under 0.25
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20  # characters looked at together; their n-gram sets are united
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
@@ -133,7 +134,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = LEAST) -> DataFrame:
     """Rows of docs, all columns, whose text has a language with at least that score; one pass, no join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return filter_texts(docs, "text", lambda: lambda texts: (lambda p: [x != "und" and s >= least for x, s in zip(*p, strict=True)])(shared.value.predict(texts)))
