@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,12 @@ def shipped(query):
         return query(spark, sf_dir)
 
     return run
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share (spark.checkpoint.dir); a local one is made only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex[:12]}"
