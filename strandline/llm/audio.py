@@ -93,8 +93,8 @@ class Features:
         return np.concatenate(out) if out else np.zeros((0, MELS), np.float32)
 
     def segments(self, mel: np.ndarray, low: float = 0.25, gap: int = 8) -> list[tuple[int, int]]:
-        """Hysteresis on the frames' mean log energy: runs above mean - low * sd that reach the mean; gaps under `gap` frames are closed."""
-        e = mel.mean(1)
+        """Hysteresis on the frames' log energy: runs above mean - low * sd that reach the mean; gaps under `gap` frames are closed."""
+        e = np.log(np.exp(mel).sum(1))
         mean, sd = float(e.mean()), float(e.std())
         over = np.flatnonzero(e >= mean - low * sd - 1e-6)
         if not len(over):
