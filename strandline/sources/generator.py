@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def letters(key, n: int = 20):
-    """n letters drawn from a hash of the key."""
-    return F.concat(*[F.char(F.lit(97) + F.pmod(F.xxhash64(key, F.lit(i)), F.lit(26))) for i in range(n)])
+    """n (up to 32) letters a to p drawn from two hashes of the key."""
+    digits = F.concat(*[F.lpad(F.hex(F.xxhash64(key, F.lit(i))), 16, "0") for i in range(2)])
+    return F.substring(F.translate(digits, "0123456789ABCDEF", "abcdefghijklmnop"), 1, n)
 
 
 def series_ids(spark: SparkSession, n: int) -> DataFrame:
