@@ -2,8 +2,8 @@
 
 Text is cut before each run of spaces and where letters meet other characters; no piece of the vocabulary spans such a cut, so
 the lattice of a text is the chain of its words' lattices. Forward weights are computed once per distinct word, for all new
-words of a batch at once, and kept as one flat automaton; backward sampling then steps all words of a batch at once by one
-binary search per piece."""
+words of a batch at once, and kept as one flat automaton; backward sampling then steps all words of a batch at once, a
+piece at a time."""
 
 from __future__ import annotations
 
@@ -65,13 +65,19 @@ class PieceLattice:
 
     def _reset(self) -> None:
         self.words: dict[str, int] = {}  # word -> its last state
-        # State s holds the edges whose cum lies in (s, s + 1]; state 0 is the start of every word.
-        self.flat, self.n_edges, self.n_states = (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)), 0, 1
-        self._append(np.ones(1), np.zeros(1, np.int64), np.full(1, -1))
+        # The edges of a state lie together from first[state] on, with running shares up to 1; state 0 starts every word.
+        self.flat, self.n_edges, self.n_states = (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)), 0, 0
+        self.first = np.zeros(0, np.int64)
+        self._append(np.zeros(1, np.int64), np.ones(1), np.zeros(1, np.int64), np.full(1, -1))
 
-    def _append(self, *new: np.ndarray) -> None:
-        """Add edges to the arrays (cum, previous state, piece), whose capacity doubles."""
+    def _append(self, heads: np.ndarray, *new: np.ndarray) -> None:
+        """Add states, given by their first new edges, and edges to the arrays (share, previous state, piece); capacity doubles."""
         n, end = self.n_edges, self.n_edges + len(new[0])
+        states = self.n_states + len(heads)
+        if states > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(2 * states, 1 << 16) - len(self.first), np.int64)])
+        self.first[self.n_states : states] = n + heads
+        self.n_states = states
         if end > len(self.flat[0]):
             size = max(2 * end, 1 << 16)
             grown = tuple(np.zeros(size, a.dtype) for a in self.flat)
@@ -92,6 +98,8 @@ class PieceLattice:
         keys = np.array([nodes.get(w[:-1], 0) * self.n_chars + self.char_of[ord(w[-1])] for w in nodes], np.int64)
         order = np.argsort(keys)
         self.step_key, self.step_node = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.roots = np.zeros(self.n_chars, np.int64)  # the first step, by direct look-up
+        self.roots[self.step_key[self.step_key < self.n_chars]] = self.step_node[self.step_key < self.n_chars]
         self.node_piece, self.node_weight = np.full(len(nodes) + 1, -1, np.int32), np.zeros(len(nodes) + 1)
         for w, (i, x) in self.weight.items():
             self.node_piece[nodes[w]], self.node_weight[nodes[w]] = i, x
@@ -106,12 +114,18 @@ class PieceLattice:
         begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))
         chars, base = self.char_of[code], self.n_states
-        at, node, depth, found = np.arange(len(code)), np.zeros(len(code), np.int64), 0, []
+        at, depth, found = np.arange(len(code)), 0, []
         while len(at):
-            key = node * self.n_chars + chars[at + depth]
-            place = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            ok = (self.step_key[place] == key) & (chars[at + depth] > 0)
-            at, node, depth = at[ok], self.step_node[place[ok]], depth + 1
+            if depth:
+                key = node * self.n_chars + chars[at + depth]
+                place = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+                ok = (self.step_key[place] == key) & (chars[at + depth] > 0)
+                at, node = at[ok], self.step_node[place[ok]]
+            else:
+                node = self.roots[chars]
+                at = np.flatnonzero(node)
+                node = node[at]
+            depth += 1
             full = self.node_piece[node] >= 0
             found.append((at[full], at[full] + depth, self.node_piece[node[full]], self.node_weight[node[full]]))
             if depth == 1:
@@ -139,11 +153,9 @@ class PieceLattice:
                 run[live] += np.where(first[e], 1, alpha[start[e] - 1]) * weight[e]
                 cum[e] = run[live]
             alpha[end[head] - 1] = run
-        states = base + np.arange(len(code))
         share = (cum / alpha[end - 1]).astype(np.float64)
         share[np.append(heads[1:], len(end)) - 1] = 1.0
-        self._append(states[end - 1] + share, np.where(first, 0, base + start - 1), piece)
-        self.n_states = base + len(code)
+        self._append(heads, share, np.where(first, 0, base + start - 1), piece)
         for w, last in zip(new, (base + np.cumsum(lengths) - 1).tolist(), strict=True):
             self.words[w] = last
 
@@ -175,17 +187,17 @@ class PieceLattice:
                 w = a * self.byte_weight
                 alpha[i + 1] += w
                 edges[i + 1].append((i, -2 - ord(word[i]), w))
-        cum, prev, piece = [], [], []
+        heads, share, prev, piece = [], [], [], []
         for j in range(1, n + 1):
-            run, at, scale = 0.0, base + j - 1, 1 / sum(w for _, _, w in edges[j])
+            heads.append(len(share))
+            run, scale = 0.0, 1 / sum(w for _, _, w in edges[j])
             for p, q, w in edges[j]:
                 run += w * scale
-                cum.append(at + run)
+                share.append(run)
                 prev.append(p and base + p - 1)
                 piece.append(q)
-            cum[-1] = at + 1.0
-        self._append(np.array(cum), np.array(prev), np.array(piece))
-        self.n_states = base + n
+            share[-1] = 1.0
+        self._append(np.array(heads), np.array(share), np.array(prev), np.array(piece))
         return base + n - 1
 
     def sample(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
@@ -202,7 +214,7 @@ class PieceLattice:
         if new := [x for x in new if len(x) <= _LONG]:
             self._compile(new)
         states = list(map(words.__getitem__, flat))
-        cum, prev, piece = self.flat[0][: self.n_edges], self.flat[1], self.flat[2]
+        (share, prev, piece), first_edge = self.flat, self.first
         state, word = np.array(states, np.int64), np.arange(len(states))
         starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         doc = np.repeat(np.arange(len(texts)), counts)
@@ -213,7 +225,11 @@ class PieceLattice:
         while len(state):
             with np.errstate(over="ignore"):
                 u = uniform(counter + np.uint64(steps))
-            edge = np.searchsorted(cum, np.minimum(state + u, np.nextafter(state + 1.0, 0)), side="right")
+            edge = first_edge[state]
+            at = np.flatnonzero(share[edge] <= u)
+            while len(at):  # few edges a state: step on where the share is still under the draw
+                edge[at] += 1
+                at = at[share[edge[at]] <= u[at]]
             out_word.append(word)
             out_piece.append(piece[edge])
             state = prev[edge]
