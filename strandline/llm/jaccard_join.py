@@ -22,10 +22,12 @@ from .common import cut, slices, table
 from .linking import Sketch, block_pairs, bucket_links, check_blocks, components, expand_pairs
 from .neardup_vectors import _results
 
-HASHES, DEPTH, LIMIT = 64, 5, 64
-BYTES = Sketch(bits=False, direct=34, absorb=59, loose=27)  # of 64: similarity 0.8 agrees in 51 +- 3.2
+HASHES, DEPTH, LIMIT = 64, 4, 128
+# Of 64 bytes: similarity 0.8 agrees in 51 +- 3.2. A row absorbed at 45 is as similar to its leader as 0.55 at the least likely,
+# and by the triangle inequality what is 0.8 similar to the row is 0.35 similar to the leader: 22 +- 3.8.
+BYTES = Sketch(bits=False, direct=34, absorb=45, loose=14)
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
@@ -197,15 +199,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     within the class). Rows with null ids and wordless rows stay."""
     from pyspark.sql import Window
 
-    joined = ngram_jaccard_join(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone")).distinct()
-    gone = cut(joined, "gone")
-    kept = docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
-    repeated = cut(kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "repeated")
+    gone = ngram_jaccard_join(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+    kept = docs.join(cut(gone, "gone"), id_col, "left_anti").select(docs.columns)
+    repeated = cut(kept.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col), "repeated")
     if repeated.isEmpty():
         return kept
     order = Window.partitionBy(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).orderBy(F.lit(1))
-    twice = kept.join(repeated, F.col(id_col) == F.col("again"), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return kept.join(repeated, F.col(id_col) == F.col("again"), "left_anti").unionByName(twice)
+    twice = kept.join(repeated, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,22 +76,27 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _lead(ids: np.ndarray, sketches: np.ndarray, how: Sketch, absorb: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (as positions) and leaders of one group. Without absorbing, every pair is compared by `direct`; with it, each row
+    """Edges (a spanning forest, as positions) and leaders of one group. Without absorbing, every pair is compared by `direct`; with it, each row
     is compared with the leaders so far by `loose`, and becomes one unless a leader is within `absorb`."""
     edges: list[tuple[int, int]] = []
+    forest = Forest(len(ids))
+
+    def link(i: int, j: int) -> None:
+        if forest.find(i) != forest.find(j):
+            forest.join(i, j)
+            edges.append((i, j))
+
     if not absorb:
-        forest = Forest(len(ids))
         for i in range(len(ids) - 1):
             for j in np.flatnonzero(how.alike(sketches[i], sketches[i + 1 :]) >= how.direct).tolist():
-                if forest.find(i) != forest.find(i + 1 + j):
-                    forest.join(i, i + 1 + j)
-                    edges.append((i, i + 1 + j))
+                link(i, i + 1 + j)
         return edges, []
     leaders: list[int] = []
     held = np.empty((16, sketches.shape[1]), np.uint8)
     for i in range(len(ids)):
         near = how.alike(sketches[i], held[: len(leaders)]) if leaders else np.zeros(0, int)
-        edges += [(leaders[k], i) for k in np.flatnonzero(near >= how.loose).tolist()]
+        for k in np.flatnonzero(near >= how.loose).tolist():
+            link(leaders[k], i)
         if not len(near) or near.max() < how.absorb:
             if len(leaders) == len(held):
                 held = np.concatenate([held, np.empty_like(held)])

@@ -130,3 +130,12 @@ def _results(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str)
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS s, vec_id AS t FROM v UNION SELECT r.s, p.y FROM reach r JOIN pairs p ON r.t = p.x),
+c AS (SELECT s AS vec_id, min(t) AS component_id FROM reach GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS n_links FROM pairs GROUP BY 1)
+SELECT c.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
