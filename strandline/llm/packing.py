@@ -12,6 +12,8 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,26 @@ from .linking import groups
 CAPACITY, END, GROUP = 4096, 1, 2000
 _HARD = re.compile(r"[\x1c-\x1f]")
 _HIGH = re.compile(r"[^\x00-˿]")
-_CACHE = 300_000
+_ENDED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_CACHE = 700_000
+
+
+class _Places(dict):
+    """Word -> number; a new word gets the next one and waits in `pending`."""
+
+    pending: list[str]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.pending.append(word)
+        return k
 
 
 class Encoder:
     """Token ids of whole texts. The vocabulary's pre-tokenizer drops white space and its normaliser works within a word, so a
-    text's ids are those of its words, kept for a bounded number of words. Below U+0300 lower-casing commutes with the
-    normaliser, and words are kept in lower case; control characters that only Python counts as white space take the plain way."""
+    text's ids are those of its words, kept for a bounded number of words; it also cuts letters from signs, so the ids of letters
+    and the signs that end them are kept apart. Below U+0300 lower-casing commutes with the normaliser, and words are kept in
+    lower case; control characters that only Python counts as white space take the plain way."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -40,42 +55,63 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.first, self.ids, self.n, self.n_ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
-
-    def _add(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-        while self.n + len(words) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.place = _Places()
+        self.place.pending = []
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  # of each word in ids
+        self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
+
+    def _store(self, places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.first[self.n + 1 : self.n + len(words) + 1] = self.n_ids + np.cumsum(sizes)
-        self.place.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n, self.n_ids = self.n + len(words), self.n_ids + len(flat)
+        self.start[places], self.size[places] = self.n_ids + np.cumsum(sizes) - sizes, sizes
+        self.n_ids += len(flat)
+
+    def _gather(self, w: np.ndarray) -> np.ndarray:
+        begin, sizes = self.start[w], self.size[w]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _learn(self) -> None:
+        place, plain, joined = self.place, [], []
+        while place.pending:  # the parts of a word may be new themselves
+            new, place.pending = place.pending, []
+            for w in new:
+                m = _ENDED.fullmatch(w)
+                if m:
+                    joined.append((place[w], place[m[1]], place[m[2]]))
+                else:
+                    plain.append(w)
+        while len(place) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._store(np.fromiter(map(place.__getitem__, part), np.int64, len(part)), sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
+        if joined:
+            words, letters, signs = np.array(joined).T
+            both = np.stack([letters, signs], 1).ravel()
+            self._store(words, self.size[letters] + self.size[signs], self._gather(both))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.n > _CACHE:
+        if len(self.place) > _CACHE:
             self.reset()
-        split: list[list[str] | None] = []
+        get, rows = self.place.__getitem__, []
         for t in texts:
-            split.append(None if _HARD.search(t) else (t if _HIGH.search(t) else t.lower()).split())
-        new = list({w for s in split if s for w in s} - self.place.keys())
-        for i in range(0, len(new), 20_000):
-            self._add(new[i : i + 20_000])
-        get, out = self.place.__getitem__, []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+            if _HARD.search(t):
+                rows.append(None)
                 continue
-            w = np.fromiter(map(get, s), np.int64, len(s))
-            begin = self.first[w]
-            sizes = self.first[w + 1] - begin
-            at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-            out.append(self.ids[at])
-        return out
+            words = (t if _HIGH.search(t) else t.lower()).split()
+            rows.append(np.fromiter(map(get, words), np.int64, len(words)))
+        self._learn()
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w is None else self._gather(w) for t, w in zip(texts, rows, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker; what it keeps is bounded and does not change its results."""
+    return Encoder(path)
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -95,7 +131,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = _encoder(path)
         for b in slices(batches, 512):
             rows, piece, start, size, crc, held = [], [], [], [], [], []
             for i, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
