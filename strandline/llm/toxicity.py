@@ -98,7 +98,7 @@ def _g2(p: int, n: int, n1: int, n0: int) -> float:
 
 
 def first_of_copies(texts: list[str], hashes: int = 4) -> list[int]:
-    """Places of texts that share none of their min-hashes over three-word shingles with an earlier one: copies are not
+    """Places of texts that share fewer than three of four min-hashes over three-word shingles with earlier ones: copies are not
     independent evidence for a word."""
     import xxhash
 
@@ -110,7 +110,7 @@ def first_of_copies(texts: list[str], hashes: int = 4) -> list[int]:
         h = np.array([xxhash.xxh64_intdigest(x) for x in shingles], np.uint64)
         with np.errstate(over="ignore"):
             key = {(k, int(((h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)).min())) for k in range(1, hashes + 1)}
-        if not key & seen:
+        if len(key & seen) < 3:
             out.append(i)
         seen |= key
     return out
