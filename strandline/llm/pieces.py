@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -257,6 +258,12 @@ class PieceLattice:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()
 
 
+@lru_cache(maxsize=1)
+def _lattice(model_file: str, theta: float = 1e-3) -> PieceLattice:
+    """One for all tasks of a Python worker; what it keeps is bounded and does not change its results."""
+    return PieceLattice(model_file, theta)
+
+
 def sample_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", theta: float = 1e-3, with_ids: bool = True) -> DataFrame:
     """One row per input row: the sampled piece ids (with_ids), their count and CRC-32, and whether decoding gave the text back.
 
@@ -266,7 +273,7 @@ def sample_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     rows give no rows; other columns are not read. A map over the scan without shuffle; a task keeps at most 300,000 words beside a batch's."""
 
     def make():
-        lattice = PieceLattice(model_file, theta)
+        lattice = _lattice(model_file, theta)
 
         def f(keys, texts):
             ids = lattice.sample([zlib.crc32(("" if k is None else str(k)).encode()) for k in keys], texts)
@@ -291,7 +298,7 @@ def decode_pieces(df: DataFrame, model_file: str, ids_col: str = "ids", out_col:
 
     @F.pandas_udf("string")
     def decode(ids):
-        lattice = PieceLattice(model_file)
+        lattice = _lattice(model_file)
         return ids.map(lambda x: None if x is None else lattice.decode(list(x)))
 
     return df.withColumn(out_col, decode(F.col(ids_col)))
