@@ -22,7 +22,7 @@ from .common import cut, slices, table
 from .linking import Sketch, block_pairs, bucket_links, check_blocks, components, expand_pairs
 from .neardup_vectors import _results
 
-HASHES, DEPTH, LIMIT = 64, 4, 128
+HASHES, DEPTH, LIMIT = 64, 3, 128
 # Of 64 bytes: similarity 0.8 agrees in 51 +- 3.2. A row absorbed at 45 is as similar to its leader as 0.55 at the least likely,
 # and by the triangle inequality what is 0.8 similar to the row is 0.35 similar to the leader: 22 +- 3.8.
 BYTES = Sketch(bits=False, direct=34, absorb=45, loose=14)
@@ -186,7 +186,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     candidates = components(bucket_links(starts, BYTES, LIMIT, _split, DEPTH))
     members = cut(classes.join(candidates, F.col("cls") == F.col("id")).select(F.col("component").alias("grp"), "id", "rep", "k1", "weight", "n_sh"), "members")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    sets = _sets_of(texts.join(members, "rep").select("text", "k1", "grp", "id", "weight"), n)
+    sets = _sets_of(texts.join(members.hint("merge"), "rep").select("text", "k1", "grp", "id", "weight"), n)
     # A representative's id may come in several rows of its text: one of them stays.
     sets = cut(sets.groupBy("id").agg(F.first("grp").alias("grp"), F.first("weight").alias("weight"), F.first("shingles").alias("shingles")), "sets")
     blocks = cut(block_pairs(sets, F.octet_length("shingles") / 8), "blocks")
@@ -211,3 +211,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.x, p.y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id WHERE p.c >= 0.8 * (a.n + b.n - p.c)),
+reach AS (SELECT doc_id AS s, doc_id AS t FROM documents UNION SELECT r.s, l.y FROM reach r JOIN l ON r.t = l.x),
+c AS (SELECT s AS doc_id, min(t) AS class_id FROM reach GROUP BY 1), m AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.doc_id, c.class_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links FROM c LEFT JOIN m ON c.doc_id = m.doc_id
+"""

@@ -76,33 +76,25 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _lead(ids: np.ndarray, sketches: np.ndarray, how: Sketch, absorb: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (a spanning forest, as positions) and leaders of one group. Without absorbing, every pair is compared by `direct`; with it, each row
+    """Edges (as positions: from the first of each linked set to its others) and leaders of one group. Without absorbing, every pair is compared by `direct`; with it, each row
     is compared with the leaders so far by `loose`, and becomes one unless a leader is within `absorb`."""
-    edges: list[tuple[int, int]] = []
-    forest = Forest(len(ids))
-
-    def link(i: int, j: int) -> None:
-        if forest.find(i) != forest.find(j):
-            forest.join(i, j)
-            edges.append((i, j))
-
-    if not absorb:
+    forest, leaders = Forest(len(ids)), []
+    if absorb:
+        held = np.empty((16, sketches.shape[1]), np.uint8)
+        for i in range(len(ids)):
+            near = how.alike(sketches[i], held[: len(leaders)]) if leaders else np.zeros(0, int)
+            for k in np.flatnonzero(near >= how.loose).tolist():
+                forest.join(leaders[k], i)
+            if not len(near) or near.max() < how.absorb:
+                if len(leaders) == len(held):
+                    held = np.concatenate([held, np.empty_like(held)])
+                held[len(leaders)] = sketches[i]
+                leaders.append(i)
+    else:
         for i in range(len(ids) - 1):
             for j in np.flatnonzero(how.alike(sketches[i], sketches[i + 1 :]) >= how.direct).tolist():
-                link(i, i + 1 + j)
-        return edges, []
-    leaders: list[int] = []
-    held = np.empty((16, sketches.shape[1]), np.uint8)
-    for i in range(len(ids)):
-        near = how.alike(sketches[i], held[: len(leaders)]) if leaders else np.zeros(0, int)
-        for k in np.flatnonzero(near >= how.loose).tolist():
-            link(leaders[k], i)
-        if not len(near) or near.max() < how.absorb:
-            if len(leaders) == len(held):
-                held = np.concatenate([held, np.empty_like(held)])
-            held[len(leaders)] = sketches[i]
-            leaders.append(i)
-    return edges, leaders
+                forest.join(i, i + 1 + j)
+    return [(r, i) for i in range(len(ids)) if (r := forest.find(i)) != i], leaders
 
 
 _LINKS = "key bigint, a bigint, b bigint, sketch binary"
@@ -168,7 +160,8 @@ def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    salts = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.ceil(F.col("n") / limit)).cast("bigint")
+    # Powers of two, so that runs which hold much the same rows salt them alike and find the same links.
+    salts = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / limit)))).cast("bigint")
     every = every.withColumn("n_salts", salts).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n_salts")))
     links = cut(_linked(every, how), "links")
     leaders = links.where("b is null").select("key", F.lit(0).cast("bigint").alias("salt"), F.lit(2).cast("bigint").alias("n_salts"), F.col("a").alias("id"), "sketch")
@@ -179,24 +172,34 @@ def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in edges (a, b).
 
-    Each round takes the least label among the neighbours (pre-aggregated), then the label of the label; tables are cut every
-    round, and each join is of two plain exchanges, so a hub's rows are split by the adaptive skew join."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
-    both = cut(both.distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        told = cut(labels.join(heard, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "told")
-        jump = told.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = cut(told.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), "labels")
-        changed = new.where("label != old").limit(1).count()
-        for x in (labels, told):
-            drop(x)
-        if not changed:
-            drop(both)
-            return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", "label")
-        labels._scratch = new._scratch
+    Each round every id points to its least neighbour or itself (pre-aggregated), pointers are followed to their roots, and the
+    edges are contracted to edges between roots, of which at most half as many are left. Tables are cut at each step; each join
+    is of two plain exchanges, so a hub's rows are split by the adaptive skew join."""
+    pair = lambda x, y: (F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
+    left = cut(edges.where("a != b").select(*pair("a", "b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        both = left.select(F.col("lo").alias("id"), F.col("hi").alias("near")).unionByName(left.select(F.col("hi").alias("id"), F.col("lo").alias("near")))
+        up = cut(both.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("up")), "up")
+        while True:
+            above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            new = cut(up.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+            drop(up)
+            up = new
+            if up.where("moved").isEmpty():
+                break
+        rounds.append(up.select("id", "up"))
+        lo, hi = up.select(F.col("id").alias("lo"), F.col("up").alias("x")), up.select(F.col("id").alias("hi"), F.col("up").alias("y"))
+        new = cut(left.join(lo, "lo").join(hi, "hi").where("x != y").select(*pair("x", "y")).distinct(), "edges")
+        drop(left)
+        left = new
+    if not rounds:
+        return left.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
+    out = rounds[0]
+    for r in rounds[1:]:
+        further = r.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        out = cut(out.join(further, "up", "left").select("id", F.coalesce("top", "up").alias("up")), "up")
+    return out.select("id", F.col("up").alias("component"))
 
 
 def block_pairs(members: DataFrame, size: Column, block: int = 64, most: int = 32, largest: int = 4096, unit: int = 2_000_000) -> DataFrame:
@@ -208,7 +211,8 @@ def block_pairs(members: DataFrame, size: Column, block: int = 64, most: int = 3
     rows = members.withColumn("units", size.cast("bigint"))
     sums = cut(rows.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("m"), F.sum("units").alias("u")), "groups")
     n = F.greatest(F.ceil(F.col("m") / largest), F.least(F.lit(most), F.ceil(F.col("m") / block)), F.ceil(F.col("u") / unit))
-    rows = rows.join(sums, F.col("grp") == F.col("g")).drop("g").withColumn("blocks", n.cast("bigint")).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
+    # Both sides grow with the data: the rows carry payloads, so the plan should not turn on the size of the other side.
+    rows = rows.join(sums.hint("merge"), F.col("grp") == F.col("g")).drop("g").withColumn("blocks", n.cast("bigint")).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
     return rows
 
 
