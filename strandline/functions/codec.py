@@ -185,14 +185,49 @@ def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | N
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     rows = points.withColumn("place", place.cast("bigint")).withColumn("part", F.floor((F.col("place") - 1) / most_points).cast("bigint"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        e = Encoder()
-        data = e.encode(pdf["ts_nanos"].to_numpy(), pdf["value"].to_numpy())
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "part"]}, "data": [data], "n_points": [len(pdf)], "state": [e.state()]})
-
-    picked = rows.select(*keys, "part", "place", "ts_nanos", "value")
-    return picked.groupBy(*keys, "part").applyInPandas(run, ", ".join([*types, "part bigint", "data binary", "n_points bigint", "state string"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in range(len(keys) + 4)]
+        for t in _runs(batches, len(keys) + 1):
+            e = Encoder()
+            data = e.encode(t.column("ts_nanos").to_numpy(), t.column("value").to_numpy())
+            for c, v in zip(out, [*(t.column(k)[0] for k in [*keys, "part"]), data, t.num_rows, e.state()], strict=True):
+                c.append(v.as_py() if isinstance(v, pa.Scalar) else v)
+            if len(out[0]) >= 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                out = [[] for _ in out]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = [*keys, "part", "data", "n_points", "state"]
+    kinds = [*(to_arrow_type(points.schema[k].dataType) for k in keys), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    # Series are sorted next to each other: a task encodes thousands of them without a call for each.
+    picked = rows.select(*keys, "part", "place", "ts_nanos", "value").repartition(*keys, "part").sortWithinPartitions(*keys, "part", "place")
+    return picked.mapInArrow(run, ", ".join([*types, "part bigint", "data binary", "n_points bigint", "state string"]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of rows that are equal in the first n_keys columns, of batches sorted by them."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, bool)
+        for k in range(n_keys):
+            c = b.column(k)
+            codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            change[1:] |= codes[1:] != codes[:-1]
+            if kept and kept[-1].column(k)[-1].as_py() != c[0].as_py():
+                change[0] = True
+        starts = [0, *(np.flatnonzero(change[1:]) + 1).tolist()]
+        for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            if kept and (i or change[0]):
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(b.slice(i, j - i))
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def decode(streams: DataFrame, chunk: str | None = None) -> DataFrame:

@@ -16,10 +16,10 @@ ENGINES = ("raw", "direct-compress", "raw-block")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, engine: str = "raw-block") -> None:
+    def __init__(self, spark: SparkSession, root: str, engine: str = "raw-block", block_ns: int = 86_400 * 10**9) -> None:
         if engine not in ENGINES:
             raise ValueError(f"unknown engine {engine!r}: one of {', '.join(ENGINES)}")
-        self.spark, self.engine, self.store = spark, engine, Store(spark, root)
+        self.spark, self.engine, self.store = spark, engine, Store(spark, root, block_ns)
         self.buffer: list[DataFrame] = []
         self.batches = 0
 
