@@ -33,12 +33,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the table behind a DataFrame made by cut(), once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_scratch", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the tables behind DataFrames made by cut() (or renamed by kept()), once nothing reads them any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_scratch", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, a plain selection from the table `source`, which drop(df) then deletes."""
+    df._scratch = getattr(source, "_scratch", None)
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ brute force, and runs repeat until the target recall.
 A set is the 64-bit hashes of a text's five-word shingles, embedded as 64 min-hashes; two sets agree on one with probability
 their Jaccard similarity. A run starts by splitting on one sampled position; buckets over the limit split again on two sampled
 positions each (at least 1 / threshold branches, so a similar pair survives level after level), with the paths drawn from the
-bucket's key. The number of runs follows from the target recall at the deepest level. What meets in a bucket is screened by the
+bucket's key, unless most of their rows agree at a drawn position: such rows are compared through leaders. The number of runs follows from the target recall at the deepest level. What meets in a bucket is screened by the
 min-hashes' low bytes; candidate groups are then checked with their whole sets."""
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, drop, slices, table
 from .linking import Sketch, block_pairs, bucket_links, check_blocks, components, expand_pairs
-from .neardup_vectors import _results
+from .neardup_vectors import results
 
 HASHES, DEPTH, LIMIT = 64, 3, 128
 # Of 64 bytes: similarity 0.8 agrees in 51 +- 3.2. A row absorbed at 45 is as similar to its leader as 0.55 at the least likely,
@@ -116,13 +116,21 @@ def sketch_texts(docs: DataFrame, n: int, n_runs: int, id_col: str, text_col: st
     return plain.mapInArrow(run, "id bigint, n_sh bigint, k1 bigint, k2 bigint, roots array<bigint>, sketch binary")
 
 
+def _drawn(level: int, k: int):
+    """The k-th position (0 or 1) that a bucket's key draws at a level; the two differ."""
+    draw = lambda k: F.xxhash64("key", F.lit(level), F.lit(k))
+    first = F.pmod(draw(0), F.lit(HASHES))
+    return first if k == 0 else F.pmod(first + 1 + F.pmod(draw(1), F.lit(HASHES - 1)), F.lit(HASHES))
+
+
+def _byte(position):
+    return F.col("sketch").substr(position.cast("int") + 1, F.lit(1))
+
+
 def _split(rows: DataFrame, level: int) -> DataFrame:
     """Two children a row: the bucket's key draws two positions, and the sketch's byte there extends the path."""
-    draw = lambda k: F.pmod(F.xxhash64("key", F.lit(level), F.lit(k)), F.lit(HASHES))
-    first = draw(0)
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64("key", F.lit(level), F.lit(1)), F.lit(HASHES - 1)), F.lit(HASHES))
-    child = lambda p: F.xxhash64("key", p, F.expr("sketch").substr(p.cast("int") + 1, F.lit(1)))
-    return rows.select(F.explode(F.array(child(first), child(second))).alias("key"), "id", "sketch")
+    children = [F.xxhash64("key", p, _byte(p)) for p in (_drawn(level, 0), _drawn(level, 1))]
+    return rows.select(F.explode(F.array(*children)).alias("key"), "id", "sketch")
 
 
 def _sets_of(joined: DataFrame, n: int) -> DataFrame:
@@ -183,15 +191,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n_sh").alias("n_sh"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
     classes = cut(grouped.withColumn("cls", F.xxhash64("k1", "k2")), "classes")
     starts = classes.select(F.col("cls").alias("id"), "sketch", F.posexplode("roots").alias("run", "value")).select(F.xxhash64("run", "value").alias("key"), "id", "sketch")
-    candidates = components(bucket_links(starts, BYTES, LIMIT, _split, DEPTH))
+    edges = bucket_links(starts, BYTES, LIMIT, _split, lambda level: _byte(_drawn(level, 0)), DEPTH)
+    candidates = components(edges)
     members = cut(classes.join(candidates, F.col("cls") == F.col("id")).select(F.col("component").alias("grp"), "id", "rep", "k1", "weight", "n_sh"), "members")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
     sets = _sets_of(texts.join(members.hint("merge"), "rep").select("text", "k1", "grp", "id", "weight"), n)
     # A representative's id may come in several rows of its text: one of them stays.
     sets = cut(sets.groupBy("id").agg(F.first("grp").alias("grp"), F.first("weight").alias("weight"), F.first("shingles").alias("shingles")), "sets")
-    blocks = cut(block_pairs(sets, F.octet_length("shingles") / 8), "blocks")
+    drop(edges, candidates, members)
+    blocks = block_pairs(sets, F.octet_length("shingles") / 8)
+    drop(sets)
     found = cut(check_blocks(expand_pairs(blocks), "shingles", lambda column: jaccard_links(column, threshold)), "checked")
-    return _results(rows, classes, found, id_col).withColumnRenamed("component_id", "class_id")
+    drop(blocks)
+    return results(rows, classes, found, id_col).withColumnRenamed("component_id", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, kept
 
 
 @dataclass(frozen=True)
@@ -139,34 +139,75 @@ def _linked(rows: DataFrame, how: Sketch) -> DataFrame:
     return sorted_.mapInArrow(run, _LINKS)
 
 
-def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[[DataFrame, int], DataFrame] | None = None, depth: int = 5) -> DataFrame:
+def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[[DataFrame, int], DataFrame] | None = None, sample: Callable[[int], Column] | None = None, depth: int = 5, stuck: float = 0.6) -> DataFrame:
     """Candidate links (a, b) of rows (key, id, sketch) that share a key.
 
     Keys are counted first (pre-aggregated); rows of lone keys go no further. Buckets over `limit` rows are split again by
-    split(rows, level) up to `depth` levels; what is still larger then is salted into groups of about `limit` rows, whose
-    leaders meet in a second round."""
-    parts, level = [], 1
+    split(rows, level) up to `depth` levels, unless a share of `stuck` of their rows agrees on sample(level), the value a split
+    would go by: near copies stay together however often they are split. What is still larger then, or stuck, is salted into groups
+    of about `limit` rows, whose leaders meet in further rounds while those shrink; the leaders left are compared in pairs of blocks, so no task holds a key."""
+    parts, level, spent = [], 1, []
     while True:
         counts = cut(rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        spent.append(counts)
         sized = rows.join(counts, F.col("key") == F.col("k")).select("key", "id", "sketch", "n")
         largest = counts.agg(F.max("n")).first()[0] or 0
         if split is None or level >= depth or largest <= limit:
             parts.append(sized)
             break
         sized = cut(sized, "sized")
+        spent.append(sized)
         parts.append(sized.where(F.col("n") <= limit))
         level += 1
-        rows = split(sized.where(F.col("n") > limit), level)
+        big = sized.where(F.col("n") > limit)
+        tops = big.groupBy("key", sample(level).alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("key").alias("bucket")).agg(F.max("c").alias("top"))
+        tops = cut(tops, "tops")
+        big = cut(big.join(tops, F.col("key") == F.col("bucket")).select("key", "id", "sketch", "n", (F.col("top") >= F.col("n") * stuck).alias("stuck")), "big")
+        drop(tops)
+        spent.append(big)
+        parts.append(big.where("stuck").drop("stuck"))
+        rows = split(big.where("NOT stuck").drop("stuck"), level)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    # Powers of two, so that runs which hold much the same rows salt them alike and find the same links.
-    salts = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / limit)))).cast("bigint")
-    every = every.withColumn("n_salts", salts).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n_salts")))
-    links = cut(_linked(every, how), "links")
-    leaders = links.where("b is null").select("key", F.lit(0).cast("bigint").alias("salt"), F.lit(2).cast("bigint").alias("n_salts"), F.col("a").alias("id"), "sketch")
-    second = _linked(leaders, how).where("b is not null")
-    return links.where("b is not null").select("a", "b").unionByName(second.select("a", "b")).distinct()
+    found, turn, before = [], 0, None
+    while True:
+        # Powers of two, so that runs which hold much the same rows salt them alike and find the same links.
+        salts = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / limit)))).cast("bigint")
+        if turn:
+            salts = F.greatest(salts, F.lit(2))  # leaders are compared as such, also in one group
+        salted = every.withColumn("n_salts", salts).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5 + turn)), F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.col("n_salts"))))
+        links = cut(_linked(salted, how), "links")
+        found.append(links)
+        drop(*spent)
+        leaders = links.where("b is null").select("key", F.col("a").alias("id"), "sketch")
+        counts = cut(leaders.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")), "leaders")
+        largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+        if not largest:
+            drop(counts)
+            break
+        every, spent = leaders.join(counts, F.col("key") == F.col("k")).select("key", "id", "sketch", "n"), [counts]
+        if largest <= limit or before is not None and total > 0.7 * before:
+            last = cut(_linked(_in_blocks(every), how), "links")
+            found.append(last)
+            drop(counts)
+            break
+        turn, before = turn + 1, total
+    both = found[0].where("b is not null").select("a", "b")
+    for f in found[1:]:
+        both = both.unionByName(f.where("b is not null").select("a", "b"))
+    out = cut(both.distinct(), "edges")
+    drop(*found)
+    return out
+
+
+def _in_blocks(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """Rows (key, id, sketch, n) once for each pair of blocks they take part in, as salts: every pair of a key's rows meets in one
+    group of about two blocks at most."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint")).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    salt = F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other")
+    return rows.select("key", salt.alias("salt"), F.lit(2).cast("bigint").alias("n_salts"), "id", "sketch")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,23 +229,25 @@ def components(edges: DataFrame) -> DataFrame:
             up = new
             if up.where("moved").isEmpty():
                 break
-        rounds.append(up.select("id", "up"))
+        rounds.append(kept(up.select("id", "up"), up))
         lo, hi = up.select(F.col("id").alias("lo"), F.col("up").alias("x")), up.select(F.col("id").alias("hi"), F.col("up").alias("y"))
         new = cut(left.join(lo, "lo").join(hi, "hi").where("x != y").select(*pair("x", "y")).distinct(), "edges")
         drop(left)
         left = new
     if not rounds:
-        return left.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
+        return kept(left.select(F.col("lo").alias("id"), F.col("hi").alias("component")), left)
+    drop(left)
     out = rounds[0]
     for r in rounds[1:]:
         further = r.select(F.col("id").alias("up"), F.col("up").alias("top"))
-        out = cut(out.join(further, "up", "left").select("id", F.coalesce("top", "up").alias("up")), "up")
-    return out.select("id", F.col("up").alias("component"))
+        new = cut(out.join(further, "up", "left").select("id", F.coalesce("top", "up").alias("up")), "up")
+        drop(out, r)
+        out = new
+    return kept(out.select("id", F.col("up").alias("component")), out)
 
 
 def block_pairs(members: DataFrame, size: Column, block: int = 64, most: int = 32, largest: int = 4096, unit: int = 2_000_000) -> DataFrame:
-    """members: grp, id, ... in; one row per pair of blocks of its group that the row takes part in, with columns pair_key
-    (group and blocks), side (0, 1; or 2 if both blocks are the same).
+    """members: grp, id, ... in; the same rows, as a table, with their group's number of blocks and their block (blocks, blk).
 
     A group of m rows has about m / block blocks, from `most` blocks on m / most rows each up to `largest` rows; never more than
     `unit` size units a block on average. Rows are counted by group first and joined by plain exchanges."""
@@ -213,7 +256,9 @@ def block_pairs(members: DataFrame, size: Column, block: int = 64, most: int = 3
     n = F.greatest(F.ceil(F.col("m") / largest), F.least(F.lit(most), F.ceil(F.col("m") / block)), F.ceil(F.col("u") / unit))
     # Both sides grow with the data: the rows carry payloads, so the plan should not turn on the size of the other side.
     rows = rows.join(sums.hint("merge"), F.col("grp") == F.col("g")).drop("g").withColumn("blocks", n.cast("bigint")).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")))
-    return rows
+    out = cut(rows, "blocks")
+    drop(sums)
+    return out
 
 
 def expand_pairs(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 from .linking import Sketch, block_pairs, bucket_links, check_blocks, components, expand_pairs
 
 BITS = Sketch(bits=True, direct=188, absorb=216, loose=154)  # of 256 sign bits: cosine 0.95 agrees in 230 +- 5, unrelated in 128 +- 8
@@ -91,12 +91,14 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     signed = cut(plain.mapInArrow(sign, "id bigint, k1 bigint, k2 bigint, tables array<bigint>, bits binary, unit binary"), "vectors")
     usable = signed.where("k1 is not null and id is not null")
-    classes = cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("tables").alias("tables"), F.first("bits").alias("bits"), F.first("unit").alias("unit")), "classes")
-    classes = classes.withColumn("cls", F.xxhash64("k1", "k2"))
+    grouped = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("tables").alias("tables"), F.first("bits").alias("bits"), F.first("unit").alias("unit"))
+    classes = cut(grouped.withColumn("cls", F.xxhash64("k1", "k2")), "classes")
     rows = classes.select(F.col("cls").alias("id"), F.col("bits").alias("sketch"), F.posexplode("tables").alias("t", "value")).select(F.xxhash64("t", "value").alias("key"), "id", "sketch")
-    candidates = components(bucket_links(rows, BITS))
+    edges = bucket_links(rows, BITS)
+    candidates = components(edges)
     members = cut(classes.join(candidates, F.col("cls") == F.col("id")).select(F.col("component").alias("grp"), "id", "weight", "unit"), "members")
-    blocks = cut(block_pairs(members, F.octet_length("unit") / 8, largest=2048), "blocks")
+    blocks = block_pairs(members, F.octet_length("unit") / 8, largest=2048)
+    drop(edges, candidates, members)
 
     def links(column):
         raw = column.to_pylist()
@@ -110,20 +112,23 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         return test
 
     found = cut(check_blocks(expand_pairs(blocks), "unit", links), "checked")
-    return _results(signed, classes, found, id_col)
+    drop(blocks)
+    return results(signed, classes, found, id_col)
 
 
-def _results(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """Counts and components of classes carried to all rows (id, k1, k2)."""
+def results(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Counts and components of classes carried to all rows (id, k1, k2); drops the tables of classes and found."""
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    comp = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "c")
+    joined = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    comp = joined.withColumnRenamed("id", "c")
     per = classes.select("k1", "k2", "cls", "rep", "weight").join(counts, F.col("cls") == counts["id"], "left").drop("id").join(comp, F.col("cls") == F.col("c"), "left").drop("c")
-    per = per.withColumn("component", F.coalesce("component", "cls"))
-    least = per.groupBy(F.col("component").alias("g")).agg(F.min("rep").alias("component_id"))
-    per = cut(per, "classes")
-    least = cut(least, "least")
-    per = cut(per.join(least, F.col("component") == F.col("g")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "results")
-    out = rows.select("id", "k1", "k2").join(per, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").isNotNull(), "left")
+    per = cut(per.withColumn("component", F.coalesce("component", "cls")), "classes")
+    least = cut(per.groupBy(F.col("component").alias("g")).agg(F.min("rep").alias("component_id")), "least")
+    drop(classes, found, joined)
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    done = cut(per.join(least, F.col("component") == F.col("g")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), n_links, "component_id"), "results")
+    drop(per, least)
+    out = rows.select("id", "k1", "k2").join(done, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
