@@ -27,6 +27,10 @@ CAPACITY, END, GROUP = 4096, 1, 2000
 _HARD = re.compile(r"[\x1c-\x1f]")
 _HIGH = re.compile(r"[^\x00-˿]")
 _ENDED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones themselves, the others in order from U+0100.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _CACHE = 700_000
 
 
@@ -52,8 +56,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model.tokenize
+        probe = ["a", "theerth", "où", "straße", "éêèçàùÿ", "ñandú" * 9]
+        self.direct = [self._word(w) for w in probe] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe]
         self.reset()
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word of plain lower-case letters, which the normaliser and pre-tokenizer leave as it is: the model alone, on
+        the characters that stand for its bytes. Only used where probes show that the vocabulary works so."""
+        return [t.id for t in self.model(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]
+
     def reset(self) -> None:
         self.place = _Places()
         self.place.pending = []
@@ -73,7 +85,7 @@ class Encoder:
         return self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def _learn(self) -> None:
-        place, plain, joined = self.place, [], []
+        place, plain, joined, letters_only = self.place, [], [], []
         while place.pending:  # the parts of a word may be new themselves
             new, place.pending = place.pending, []
             for w in new:
@@ -81,19 +93,23 @@ class Encoder:
                 if m:
                     joined.append((place[w], place[m[1]], place[m[2]]))
                 else:
-                    plain.append(w)
+                    (letters_only if self.direct and _LETTERS.fullmatch(w) else plain).append(w)
         while len(place) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self._store(np.fromiter(map(place.__getitem__, part), np.int64, len(part)), sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
+        for words_, encode in ((plain, lambda part: [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]), (letters_only, lambda part: list(map(self._word, part)))):
+            self._encode_new(words_, encode)
         if joined:
             words, letters, signs = np.array(joined).T
             both = np.stack([letters, signs], 1).ravel()
             self._store(words, self.size[letters] + self.size[signs], self._gather(both))
 
+    def _encode_new(self, words: list[str], encode) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            got = encode(part)
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._store(np.fromiter(map(self.place.__getitem__, part), np.int64, len(part)), sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > _CACHE:
             self.reset()
