@@ -24,12 +24,10 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 _CACHE = 200_000
 
 
-def index_vector(token: str) -> np.ndarray:
-    """NONZERO entries of +-1 at places drawn from the token's hash."""
-    v = np.zeros(DIM, np.float32)
+def index_vector(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """NONZERO places drawn from the token's hash, and their signs."""
     rng = np.random.default_rng(zlib.crc32(token.encode("utf-8", "replace")))
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice(np.array([-1, 1], np.float32), NONZERO)
-    return v
+    return rng.permutation(DIM)[:NONZERO], rng.integers(0, 2, NONZERO) * 2 - 1
 
 
 SHAPES = ["<word>", "<title>", "<caps>", "<digits>", "<sign>", "<signs>", "<line>"]
@@ -98,18 +96,29 @@ def random_indexing(texts: list[str], least: int = 3) -> Vectors:
     counts = Counter(t for x in tokens for t in x)
     vocabulary = {t: i for i, t in enumerate(sorted(t for t, k in counts.items() if k >= least))}
     n = len(vocabulary)
-    index = np.zeros((n + BUCKETS, DIM), np.float32)
-    for t, i in vocabulary.items():
-        index[i] = index_vector(t)
-    for b in range(BUCKETS):
-        index[n + b] = index_vector(f"<{b}>")
-    vectors = index.copy()
+    size = n + BUCKETS
+    drawn = [index_vector(t) for t in [*vocabulary, *(f"<{b}>" for b in range(BUCKETS))]]
+    place, sign = np.stack([p for p, _ in drawn]), np.stack([x for _, x in drawn]).astype(np.float64)
+    flat = np.zeros(size * DIM)
+    flat[(np.arange(size)[:, None] * DIM + place).ravel()] = sign.ravel()
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        """Add the neighbours' index vectors to each word's, entry by entry: they are sparse."""
+        word, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        flat[:] += np.bincount((word[:, None] * DIM + place[near]).ravel(), sign[near].ravel(), size * DIM)
+        pairs.clear()
+
     for x in tokens:
         rows = np.array([vocabulary[t] if t in vocabulary else n + zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in x], np.int64)
         for d in range(1, WINDOW + 1):
             if len(rows) > d:
-                np.add.at(vectors, rows[d:], index[rows[:-d]])
-                np.add.at(vectors, rows[:-d], index[rows[d:]])
+                pairs += [(rows[d:], rows[:-d]), (rows[:-d], rows[d:])]
+        if sum(len(w) for w, _ in pairs) > 1_000_000:
+            add()
+    if pairs:
+        add()
+    vectors = flat.reshape(size, DIM).astype(np.float32)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
     return Vectors(vocabulary, vectors)
 
