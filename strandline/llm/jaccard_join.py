@@ -13,6 +13,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -177,13 +178,14 @@ def jaccard_links(column, threshold: float):
     return test
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, with_classes: bool = False) -> DataFrame:
     """One row per input row: id, class_id (smallest id reachable by links), n_links (other rows linked directly, copies included).
 
     Rows link if the Jaccard similarity of their n-word shingle sets is >= threshold. Words are runs of word characters in lower
     case; a text of fewer words is one shingle; null, empty and wordless texts link with nothing and are their own class. Rows of
     equal sets are one class, found by digest; only its representative is joined and counts as often as it occurs (repeated rows
     too). A null id links with nothing and has a null class. No rows give no rows; other columns are not read.
+    With classes also k1, k2 (digest of the row's set) and component (the class itself: ids may repeat, so class_id may too).
     No cap applies: buckets past every split are salted, and candidate groups are checked in blocks."""
     n_runs = runs_needed(threshold, recall)
     rows = cut(sketch_texts(docs, n, n_runs, id_col, text_col), "sketches")
@@ -203,22 +205,46 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop(sets)
     found = cut(check_blocks(expand_pairs(blocks), "shingles", lambda column: jaccard_links(column, threshold)), "checked")
     drop(blocks)
-    return results(rows, classes, found, id_col).withColumnRenamed("component_id", "class_id")
+    return results(rows, classes, found, id_col, with_classes).withColumnRenamed("component_id", "class_id")
+
+
+def _digest(n: int = 5):
+    """A text's k1 and k2 as sketch_texts has them."""
+
+    @F.pandas_udf("k1 bigint, k2 bigint")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        shingle = Shingler(n)
+        sets = [shingle(t or "") for t in texts]
+        d = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
+        return pd.DataFrame({"k1": pd.array([None if x is None else (x >> 64) - 2**63 for x in d], "Int64"), "k2": pd.array([None if x is None else (x & (2**64 - 1)) - 2**63 for x in d], "Int64")})
+
+    return digest
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns: of each class of near copies the row with the smallest id (one of them if that id is repeated
-    within the class). Rows with null ids and wordless rows stay."""
-    from pyspark.sql import Window
-
-    gone = ngram_jaccard_join(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    kept = docs.join(cut(gone, "gone"), id_col, "left_anti").select(docs.columns)
-    repeated = cut(kept.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col), "repeated")
+    within the class). Rows with null ids and wordless rows stay.
+
+    An id that occurs once tells its row; rows of a repeated id are told apart by the digest of their set, which is taken again
+    for them alone."""
+    joined = ngram_jaccard_join(docs, id_col, text_col, with_classes=True).where(F.col(id_col).isNotNull())
+    joined = cut(joined.select(F.col(id_col).alias("__keep_id"), F.col("class_id").alias("__keep_class"), F.col("k1").alias("__keep_k1"), F.col("k2").alias("__keep_k2"), F.col("component").alias("__keep_component")), "joined")
+    gone = cut(joined.where("__keep_id != __keep_class").select("__keep_id").distinct(), "gone")
+    repeated = cut(joined.groupBy("__keep_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__keep_id"), "repeated")
+    own_id = F.col(id_col).cast("bigint") == F.col("__keep_id")
     if repeated.isEmpty():
-        return kept
-    order = Window.partitionBy(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).orderBy(F.lit(1))
-    twice = kept.join(repeated, id_col, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
+        drop(joined, repeated)
+        return docs.join(gone, own_id, "left_anti").select(docs.columns)
+    first = F.min(F.struct("__keep_k1", "__keep_k2"))
+    stays = joined.where("__keep_id = __keep_class and __keep_k1 is not null").join(repeated, "__keep_id", "left_semi").groupBy("__keep_id", "__keep_component").agg(first.alias("__keep_set"))
+    stays = cut(stays.select("__keep_id", F.col("__keep_set.__keep_k1").alias("__keep_k1"), F.col("__keep_set.__keep_k2").alias("__keep_k2")), "stays")
+    drop(joined)
+    once = docs.join(repeated, own_id, "left_anti").join(gone, own_id, "left_anti").select(docs.columns)
+    twice = docs.join(repeated, own_id, "left_semi").withColumn("__keep_digest", _digest()(F.col(text_col).cast("string")))
+    twice = cut(twice, "twice")
+    same = own_id & (F.col("__keep_digest.k1") == F.col("__keep_k1")) & (F.col("__keep_digest.k2") == F.col("__keep_k2"))
+    one = twice.where("__keep_digest.k1 is not null").join(stays, same).dropDuplicates(["__keep_id", "__keep_k1", "__keep_k2"])
+    return once.unionByName(twice.where("__keep_digest.k1 is null").select(docs.columns)).unionByName(one.select(docs.columns))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,8 +116,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     return results(signed, classes, found, id_col)
 
 
-def results(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """Counts and components of classes carried to all rows (id, k1, k2); drops the tables of classes and found."""
+def results(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str, with_classes: bool = False) -> DataFrame:
+    """Counts and components of classes carried to all rows (id, k1, k2); drops the tables of classes and found. With classes
+    also k1, k2 and `component`, which tells components of equal smallest ids apart (null for rows that are in none)."""
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     comp = joined.withColumnRenamed("id", "c")
@@ -126,10 +127,11 @@ def results(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str)
     least = cut(per.groupBy(F.col("component").alias("g")).agg(F.min("rep").alias("component_id")), "least")
     drop(classes, found, joined)
     n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
-    done = cut(per.join(least, F.col("component") == F.col("g")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), n_links, "component_id"), "results")
+    done = cut(per.join(least, F.col("component") == F.col("g")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), n_links, "component_id", "component"), "results")
     drop(per, least)
+    more = ["k1", "k2", "component"] if with_classes else []
     out = rows.select("id", "k1", "k2").join(done, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").isNotNull(), "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), *more)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

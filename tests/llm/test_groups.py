@@ -169,6 +169,16 @@ def test_join_edges(spark, edge, none):
     assert sorted(r.text for r in jaccard_join.keep_one(twice).collect()) == ["a b c d e f", "other words in this one here"]
 
 
+def test_join_keeps_one_row_of_a_class_not_of_an_id(spark):
+    w = [f"w{k}" for k in range(60)]
+    a, near, b = " ".join(w), " ".join([*w[:-1], "z"]), " ".join(w[::-1])
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert keep([(3, a), (5, near), (5, b)]) == [(3, a), (5, b)]
+    got = keep([(5, a), (5, near), (5, a.upper()), (5, b), (5, b), (6, near), (7, "!"), (7, "!"), (8, "alone")])
+    assert [t for _, t in got if t == b] == [b] and sum(t.startswith(("w0 ", "W0 ")) for _, t in got) == 1
+    assert [i for i, _ in got] == [5, 5, 7, 7, 8]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 400)] + [(500, 500)]
     got = {r.id: r.component for r in linking.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
