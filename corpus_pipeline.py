@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     ship(spark)
-    return packing.pack(packing.token_pieces(docs, packing.vocabulary(), with_ids=False))
+    return packing.pack(packing.token_pieces(docs, packing.vocabulary(), with_ids=False, specials=True))
 
 
 STAGES = [("language ID", identify_language), ("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("best-fit packing", pack_sequences)]

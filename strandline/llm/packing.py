@@ -49,13 +49,17 @@ class Encoder:
     """Token ids of whole texts. The vocabulary's pre-tokenizer drops white space and its normaliser works within a word, so a
     text's ids are those of its words, kept for a bounded number of words; it also cuts letters from signs, so the ids of letters
     and the signs that end them are kept apart. Below U+0300 lower-casing commutes with the normaliser, and words are kept in
-    lower case; control characters that only Python counts as white space take the plain way."""
+    lower case; control characters that only Python counts as white space take the plain way. With specials so do texts that hold
+a special token, by the tokenizer as loaded; else special tokens written in a text are read as its characters."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a word in lower case may look like a special token that its text lacks
+        self.loaded = Tokenizer.from_file(path)
+        added = self.loaded.get_added_tokens_decoder().values() if specials else []
+        self.special = re.compile("|".join(re.escape(t.content) for t in added), re.IGNORECASE if any(t.normalized for t in added) else 0) if added else None
         self.model = self.tokenizer.model.tokenize
         probe = ["a", "theerth", "où", "straße", "éêèçàùÿ", "ñandú" * 9]
         self.direct = [self._word(w) for w in probe] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe]
@@ -115,19 +119,20 @@ class Encoder:
             self.reset()
         get, rows = self.place.__getitem__, []
         for t in texts:
-            if _HARD.search(t):
+            if _HARD.search(t) or self.special and self.special.search(t):
                 rows.append(None)
                 continue
             words = (t if _HIGH.search(t) else t.lower()).split()
             rows.append(np.fromiter(map(get, words), np.int64, len(words)))
         self._learn()
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w is None else self._gather(w) for t, w in zip(texts, rows, strict=True)]
+        whole = self.loaded if self.special else self.tokenizer
+        return [np.array(whole.encode(t, add_special_tokens=False).ids, np.uint32) if w is None else self._gather(w) for t, w in zip(texts, rows, strict=True)]
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, specials: bool = False) -> Encoder:
     """One for all tasks of a Python worker; what it keeps is bounded and does not change its results."""
-    return Encoder(path)
+    return Encoder(path, specials)
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -137,9 +142,10 @@ def vocabulary(path: str | None = None) -> str:
     return path or public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True, specials: bool = False) -> DataFrame:
     """One row per piece of at most `capacity` ids of each row's text and the closing id: id, piece, start, length, ids_crc32,
-    ids if asked for. Null and empty texts have the closing id alone; repeated rows each have their pieces; no rows give none."""
+    ids if asked for. Null and empty texts have the closing id alone; repeated rows each have their pieces; no rows give none.
+    With specials, special tokens written in a text are one id each, as the tokenizer as loaded has it; else its characters' ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
@@ -147,7 +153,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoder(path)
+        encode = _encoder(path, specials)
         for b in slices(batches, 512):
             rows, piece, start, size, crc, held = [], [], [], [], [], []
             for i, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
@@ -271,4 +277,4 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False))
+    return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False, specials=True))

@@ -232,6 +232,20 @@ def test_pieces_of_edges(spark, edge, none):
     assert whole.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+def test_packing_query_reads_special_tokens_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "a<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x <|endoftext", "plain words", "\x1c <|endoftext|>", "<|endoftext|>" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(packing.vocabulary())
+    want = []
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    for got in (packing.op9_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, table(spark, str(tmp_path), "documents"), str(tmp_path))):
+        assert sorted(tuple(r) for r in got.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == want
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(60):
