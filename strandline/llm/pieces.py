@@ -312,4 +312,4 @@ def piece_model(path: str | None = None) -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_pieces(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+    return sample_pieces(table(spark, sf_dir, "documents"), piece_model())

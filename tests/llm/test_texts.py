@@ -100,6 +100,13 @@ def test_polyphase_keeps_a_tone_and_segments_find_it():
     assert audio.tensor_table(audio.to_wav(x.tobytes())).column("logmel").type.shape == [audio.TENSOR, audio.MELS]
 
 
+def test_pieces_query_returns_ids_that_decode(spark):
+    text = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    got = pieces.op4_sentencepiece(spark, SF).collect()
+    lattice = pieces.PieceLattice(pieces.piece_model())
+    assert {r.doc_id: lattice.decode(r.ids) for r in got} == text and all(len(r.ids) == r.n_pieces for r in got)
+
+
 def test_pieces_decode_and_do_not_depend_on_partitions(spark, edge):
     docs = table(spark, SF, "documents")
     model = pieces.piece_model()
