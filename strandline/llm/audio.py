@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, slices, table
 
 RATE, UP, DOWN, TAPS = 12000, 2, 3, 8
 FRAME, HOP, MELS, TENSOR = 256, 128, 20, 8
-HEADER = 44
 BLOCK = 1 << 18  # input samples read at a time, a multiple of DOWN * HOP / gcd is not needed: state is carried
 
 
@@ -116,17 +116,35 @@ class Features:
         return [(span(a), span(b), self.tensor(mel, a, b)) for a, b in self.segments(mel)]
 
 
-def tensor_table(media: bytes) -> pa.Table:
-    """Segments of one stored clip as an Arrow table with a fixed-shape tensor column and time spans."""
-    rows = Features().clip(media)
-    tensors = np.stack([t for _, _, t in rows]) if rows else np.zeros((0, TENSOR, MELS), np.float32)
-    kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR, MELS))
+SEGMENTS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("logmel", pa.fixed_shape_tensor(pa.float32(), (TENSOR, MELS)))])
+
+
+def store_segments(clips: list[list[tuple[float, float, np.ndarray]]]) -> list[bytes]:
+    """The segments of each clip as an Arrow IPC stream of SEGMENTS: time spans and a fixed-shape tensor column."""
+    flat = [r for x in clips for r in x]
+    tensors = np.stack([t for _, _, t in flat]) if flat else np.zeros((0, TENSOR, MELS), np.float32)
     storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), TENSOR * MELS)
-    return pa.table({"start_s": pa.array([r[0] for r in rows], pa.float64()), "end_s": pa.array([r[1] for r in rows], pa.float64()), "logmel": pa.ExtensionArray.from_storage(kind, storage)})
+    every = pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.float64()), pa.array([r[1] for r in flat], pa.float64()), pa.ExtensionArray.from_storage(SEGMENTS.field(2).type, storage)], schema=SEGMENTS)
+    out, at = [], 0
+    for x in clips:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, SEGMENTS) as w:
+            w.write_batch(every.slice(at, len(x)))
+        out.append(sink.getvalue().to_pybytes())
+        at += len(x)
+    return out
+
+
+def read_segments(stored: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and tensors (segments x TENSOR x MELS) of a stored clip's segments."""
+    t = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    tensors = [c.to_numpy_ndarray() for c in t.column("logmel").chunks if len(c)]
+    return t.column("start_s").to_numpy(), t.column("end_s").to_numpy(), np.concatenate(tensors) if tensors else np.zeros((0, TENSOR, MELS), np.float32)
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the stored WAV and its segments (time span, log-mel tensor of TENSOR x MELS, flattened row by row).
+    """One row per input row: the stored WAV and its segments, an Arrow IPC stream (see read_segments) of time spans and log-mel
+    tensors of the fixed shape TENSOR x MELS, a type that Spark's own columns do not have.
 
     Null and empty texts give 64 zero samples (one silent segment). Equal texts give equal media and tensors, since each clip is
     read in blocks that depend on nothing else. Repeated rows each get a row; no rows give no rows; other columns are not read.
@@ -138,26 +156,37 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def f(_, texts):
             data = [t.encode("utf-8", "replace") for t in texts]
             media = [to_wav(pad64(d)) for d in data]
-            rows = [own.clip(m) for m in media]
-            flat = [r for x in rows for r in x]
-            tensors = pa.array(np.concatenate([t.ravel() for _, _, t in flat]) if flat else np.zeros(0, np.float32))
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * TENSOR * MELS), tensors)
-            items = pa.StructArray.from_arrays([pa.array([r[0] for r in flat], pa.float64()), pa.array([r[1] for r in flat], pa.float64()), each], ["start_s", "end_s", "logmel"])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-            return {"n_bytes": pa.array([len(d) for d in data], pa.int64()), "media": pa.array(media, pa.binary()), "segments": pa.ListArray.from_arrays(pa.array(offsets), items)}
+            return {"n_bytes": pa.array([len(d) for d in data], pa.int64()), "media": pa.array(media, pa.binary()), "segments": pa.array(store_segments([own.clip(m) for m in media]), pa.binary())}
 
         return f
 
-    return map_texts(docs, id_col, text_col, "n_bytes bigint, media binary, segments array<struct<start_s:double,end_s:double,logmel:array<float>>>", make, rows=64)
+    return map_texts(docs, id_col, text_col, "n_bytes bigint, media binary, segments binary", make, rows=64)
+
+
+def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of audio_features read again from what they store: the payload found by walking the WAV's chunks (size, SHA-256,
+    CRC-32 of its last 64 bytes), size and SHA-256 of the media, and a digest of the segments' spans and tensors. Null media
+    give null figures. A map without shuffle."""
+    kind = stored.schema[id_col].dataType.simpleString()
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def figures(media: bytes | None, segments: bytes) -> tuple:
+        if media is None:
+            return (None,) * len(names)
+        samples = from_wav(media)[1]
+        start, end, tensors = read_segments(segments)
+        feature = f"{len(start)}:{float((end - start).sum()):.4f}:{zlib.crc32(tensors.tobytes()):08x}"
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(start)
+
+    def run(batches):
+        for b in slices(batches, 64):
+            rows = [figures(m.as_py(), s.as_py()) for m, s in zip(b.column(2), b.column(3), strict=True)]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], [id_col, "n_bytes", *names])
+
+    return stored.select(id_col, "n_bytes", "media", "segments").mapInArrow(run, f"{id_col} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_segments bigint")
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = audio_features(table(spark, sf_dir, "documents"))
-    # The samples follow the WAV header that to_wav writes; they are read back from the stored media, not from the text.
-    out = out.withColumn("samples", F.expr(f"substring(media, {HEADER + 1}, octet_length(media) - {HEADER})"))
-    return out.select(
-        "doc_id", "n_bytes", F.expr("cast(octet_length(samples) as bigint)").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(samples, octet_length(samples) - 63, 64)")).alias("tail_crc32"), F.expr("cast(octet_length(media) as bigint)").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", F.size("segments"), F.round(F.expr("aggregate(segments, 0D, (a, s) -> a + s.end_s - s.start_s)"), 4), F.hex(F.xxhash64("segments"))).alias("feature"),
-        F.size("segments").alias("n_segments"),
-    )
+    return read_back(audio_features(table(spark, sf_dir, "documents")))
