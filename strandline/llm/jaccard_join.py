@@ -24,11 +24,10 @@ from .linking import Sketch, block_pairs, bucket_links, check_blocks, components
 from .neardup_vectors import results
 
 HASHES, DEPTH, LIMIT = 64, 3, 128
-# Of 64 bytes: similarity 0.8 agrees in 51 +- 3.2. A row absorbed at 45 is as similar to its leader as 0.55 at the least likely,
-# and by the triangle inequality what is 0.8 similar to the row is 0.35 similar to the leader: 22 +- 3.8.
-BYTES = Sketch(bits=False, direct=34, absorb=45, loose=14)
+# Of 64 bytes similarity 0.8 agrees in 51 +- 3.2, so in 34 at the least likely. Leaders absorb what differs in 5 bytes at most.
+BYTES = Sketch(near=34, absorb=59)
 _WORD = re.compile(r"\w+")
-_CACHE = 150_000
+_CACHE, _LONG = 150_000, 40
 
 
 def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
@@ -40,7 +39,7 @@ def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
 
 
 class Shingler:
-    """Sets of 64-bit shingle hashes; word hashes are kept for a bounded number of words."""
+    """Sets of 64-bit shingle hashes; hashes are kept for a bounded number of words of up to _LONG characters."""
 
     def __init__(self, n: int) -> None:
         self.n, self.words = n, {}
@@ -55,9 +54,9 @@ class Shingler:
             if len(words) > _CACHE:
                 words.clear()
             for t in tokens:
-                if t not in words:
+                if t not in words and len(t) <= _LONG:
                     words[t] = xxhash.xxh64_intdigest(t)
-            h = np.array([words[t] for t in tokens], np.uint64)
+            h = np.array([words[t] if len(t) <= _LONG else xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
         if not len(h):
             return h
         n = min(self.n, len(h))
@@ -150,29 +149,38 @@ def _sets_of(joined: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, "grp bigint, id bigint, weight bigint, shingles binary")
 
 
-def jaccard_links(column, threshold: float):
-    """Jaccard similarities of all rows by products of 0/1 matrices, 4096 shared shingles at a time."""
-    sets = [np.frombuffer(r, np.uint64) for r in column.to_pylist()]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    times = np.diff(np.append(starts, len(every)))
-    shared = np.repeat(times > 1, times)
-    col = np.repeat(np.cumsum(times > 1) - 1, times)[shared]
-    owner = owner[shared]
-    n_cols = int(col[-1]) + 1 if len(col) else 0
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    for c in range(0, n_cols, 4096):
-        a, b = np.searchsorted(col, [c, c + 4096])
-        m = np.zeros((len(sets), min(4096, n_cols - c)), np.float32)
-        m[owner[a:b], col[a:b] - c] = 1
-        both += m @ m.T
+def jaccard_links(left: list[bytes], right: list[bytes], threshold: float):
+    """Jaccard similarities of the left's rows with the right's, by products of 0/1 matrices over 2048 shingles at a time that
+    occur in both. Holds one number for each pair of rows and two slices of 2048 columns beside the sets."""
+    one = [np.frombuffer(r, np.uint64) for r in left]
+    sizes = [np.array([len(r) // 8 for r in x], np.int64) for x in (left, right)]
+    sides = [one, one if right is left else [np.frombuffer(r, np.uint64) for r in right]]
+    every = [np.concatenate(x) for x in sides]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    if right is left:
+        tokens, times = np.unique(every[0], return_counts=True)
+        tokens = tokens[times > 1]
+    else:
+        tokens = np.intersect1d(np.unique(every[0]), np.unique(every[1]))
+    both = np.zeros((len(left), len(right)), np.float64)
+    if len(tokens):
+        cols = []
+        for side in range(1 if right is left else 2):
+            at = np.minimum(np.searchsorted(tokens, every[side]), len(tokens) - 1)
+            shared = np.flatnonzero(tokens[at] == every[side])
+            shared = shared[np.argsort(at[shared], kind="stable")]
+            cols.append((at[shared], owner[side][shared]))
+        for c in range(0, len(tokens), 2048):
+            m = []
+            for (col, row), n in zip(cols, sizes, strict=False):
+                a, b = np.searchsorted(col, [c, c + 2048])
+                x = np.zeros((len(n), min(2048, len(tokens) - c)), np.float32)
+                x[row[a:b], col[a:b] - c] = 1
+                m.append(x)
+            both += m[0] @ m[-1].T
 
     def test(i, j):
-        union = sizes[i:j, None] + sizes[None, :] - both[i:j]
+        union = sizes[0][i:j, None] + sizes[1][None, :] - both[i:j]
         return both[i:j] >= threshold * union - 1e-9
 
     return test
@@ -203,7 +211,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop(edges, candidates, members)
     blocks = block_pairs(sets, F.octet_length("shingles") / 8)
     drop(sets)
-    found = cut(check_blocks(expand_pairs(blocks), "shingles", lambda column: jaccard_links(column, threshold)), "checked")
+    found = cut(check_blocks(expand_pairs(blocks), "shingles", lambda left, right: jaccard_links(left, right, threshold)), "checked")
     drop(blocks)
     return results(rows, classes, found, id_col, with_classes).withColumnRenamed("component_id", "class_id")
 

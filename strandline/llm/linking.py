@@ -1,8 +1,7 @@
 """Shared parts of the similarity joins: buckets -> candidate links -> candidate groups -> exact check in blocks -> components.
 
-Buckets of any size are cut into salted groups of bounded size; inside one, a row is compared with the group's leaders by a
-short sketch. Only a spanning forest leaves a group, never its pairs. Candidate groups are checked exactly in blocks, each pair
-of blocks in one task, so no task holds a whole group."""
+Buckets of any size are cut into groups of bounded size, one task at a time holds one. Only a spanning forest leaves a group,
+never its pairs. Candidate groups are checked exactly in blocks, each pair of blocks in one task, so no task holds a whole group."""
 
 from __future__ import annotations
 
@@ -19,17 +18,19 @@ from .common import cut, drop, kept
 
 @dataclass(frozen=True)
 class Sketch:
-    """How alike two sketches are: equal bytes, or equal bits. `direct`: pairs in question reach this; `absorb`: rows this
-    close to a leader need no comparison of their own, as `loose` then still catches what is in question with them."""
+    """How many of `size` sketch bytes agree: at least `near` for a pair in question; rows that agree with a leader in `absorb`
+    are left to it. By the triangle inequality of differing bytes, the leaders of a pair in question then agree as loose() says."""
 
-    bits: bool
-    direct: int
+    near: int
     absorb: int
-    loose: int
+    size: int = 64
 
-    def alike(self, one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        if self.bits:
-            return 8 * many.shape[1] - np.bitwise_count(many ^ one).sum(1, dtype=np.int64)
+    def loose(self, absorbed: int) -> int:
+        """Least agreement of what stands for the two rows of a pair, each absorbed so often that it is `absorbed` in sum."""
+        return self.near - absorbed * (self.size - self.absorb)
+
+    @staticmethod
+    def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
         return (many == one).sum(1)
 
 
@@ -75,34 +76,44 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def _lead(ids: np.ndarray, sketches: np.ndarray, how: Sketch, absorb: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (as positions: from the first of each linked set to its others) and leaders of one group. Without absorbing, every pair is compared by `direct`; with it, each row
-    is compared with the leaders so far by `loose`, and becomes one unless a leader is within `absorb`."""
-    forest, leaders = Forest(len(ids)), []
-    if absorb:
-        held = np.empty((16, sketches.shape[1]), np.uint8)
-        for i in range(len(ids)):
-            near = how.alike(sketches[i], held[: len(leaders)]) if leaders else np.zeros(0, int)
-            for k in np.flatnonzero(near >= how.loose).tolist():
-                forest.join(leaders[k], i)
-            if not len(near) or near.max() < how.absorb:
-                if len(leaders) == len(held):
-                    held = np.concatenate([held, np.empty_like(held)])
-                held[len(leaders)] = sketches[i]
-                leaders.append(i)
-    else:
-        for i in range(len(ids) - 1):
-            for j in np.flatnonzero(how.alike(sketches[i], sketches[i + 1 :]) >= how.direct).tolist():
-                forest.join(i, i + 1 + j)
-    return [(r, i) for i in range(len(ids)) if (r := forest.find(i)) != i], leaders
+def _lead(sketches: np.ndarray, how: Sketch, loose: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges (as positions: from the first of each linked set to its others) and leaders of one group: each row is compared with
+    the leaders so far by `loose`, and becomes one unless a leader is within how.absorb."""
+    n = len(sketches)
+    forest, leaders, held = Forest(n), [], np.empty((16, sketches.shape[1]), np.uint8)
+    for i in range(n):
+        near = how.alike(sketches[i], held[: len(leaders)]) if leaders else np.zeros(0, int)
+        for k in np.flatnonzero(near >= loose).tolist():
+            forest.join(leaders[k], i)
+        if not len(near) or near.max() < how.absorb:
+            if len(leaders) == len(held):
+                held = np.concatenate([held, np.empty_like(held)])
+            held[len(leaders)] = sketches[i]
+            leaders.append(i)
+    return [(r, i) for i in range(n) if (r := forest.find(i)) != i], leaders
+
+
+def linked_sets(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges from the first of each linked set of positions 0..n-1 to its others; near(i, others) tells which of those link with i.
+    What is reached is not compared again, so a set of copies costs its size, not its square."""
+    edges, rest = [], np.arange(n)
+    while len(rest) > 1:
+        root, rest, front = int(rest[0]), rest[1:], [int(rest[0])]
+        while front and len(rest):
+            hit = near(front.pop(), rest)
+            if hit.any():
+                front += rest[hit].tolist()
+                edges += [(root, j) for j in rest[hit].tolist()]
+                rest = rest[~hit]
+    return edges
 
 
 _LINKS = "key bigint, a bigint, b bigint, sketch binary"
 
 
-def _linked(rows: DataFrame, how: Sketch) -> DataFrame:
-    """rows: key, salt, n_salts, id, sketch. Edges (a, b) of each (key, salt) group; for keys of several salts also the leaders
-    (b null, with their sketch)."""
+def _linked(rows: DataFrame, work: Callable[[list[bytes], bool], tuple[list[tuple[int, int]], list[int]]]) -> DataFrame:
+    """rows: key, salt, salted, id, sketch. Edges (a, b) of each (key, salt) group by work(sketches, salted), and its leaders (b
+    null, with their sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
@@ -114,15 +125,11 @@ def _linked(rows: DataFrame, how: Sketch) -> DataFrame:
             return made
 
         for t in groups(batches, 2):
-            n = t.num_rows
-            ids = t.column("id").to_numpy()
-            salted = t.column("n_salts")[0].as_py() > 1
-            if n < 2 and not salted:
+            salted = t.column("salted")[0].as_py()
+            if t.num_rows < 2 and not salted:
                 continue
-            raw = t.column("sketch").to_pylist()
-            sketches = np.frombuffer(b"".join(raw), np.uint8).reshape(n, -1)
-            key = t.column("key")[0].as_py()
-            edges, leaders = _lead(ids, sketches, how, salted)
+            ids, raw, key = t.column("id").to_numpy(), t.column("sketch").to_pylist(), t.column("key")[0].as_py()
+            edges, leaders = work(raw, salted)
             for i, j in edges:
                 if ids[i] != ids[j]:
                     for c, v in zip(out, (key, int(ids[i]), int(ids[j]), None), strict=True):
@@ -135,7 +142,7 @@ def _linked(rows: DataFrame, how: Sketch) -> DataFrame:
         if out[0]:
             yield flush()
 
-    sorted_ = rows.select("key", "salt", "n_salts", "id", "sketch").repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
+    sorted_ = rows.select("key", "salt", "salted", "id", "sketch").repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
     return sorted_.mapInArrow(run, _LINKS)
 
 
@@ -145,7 +152,8 @@ def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[
     Keys are counted first (pre-aggregated); rows of lone keys go no further. Buckets over `limit` rows are split again by
     split(rows, level) up to `depth` levels, unless a share of `stuck` of their rows agrees on sample(level), the value a split
     would go by: near copies stay together however often they are split. What is still larger then, or stuck, is salted into groups
-    of about `limit` rows, whose leaders meet in further rounds while those shrink; the leaders left are compared in pairs of blocks, so no task holds a key."""
+    of about `limit` rows, whose leaders are salted into groups once more; the leaders left are compared in pairs of blocks, so no
+    task holds a key. The thresholds of the rounds see to it that a pair in question is linked whichever leaders stand for it."""
     parts, level, spent = [], 1, []
     while True:
         counts = cut(rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -170,29 +178,38 @@ def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    found, turn, before = [], 0, None
+
+    def all_pairs(loose: int):
+        def work(raw: list[bytes], salted: bool = False):
+            sketches = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+            return linked_sets(len(raw), lambda i, rest: how.alike(sketches[i], sketches[rest]) >= loose), []
+
+        return work
+
+    def by_leaders(turn: int):
+        # A row of the pair was absorbed `turn` times, as the other was, and one of them may be by a leader of this group.
+        pairs, loose = all_pairs(how.near), how.loose(2 * turn + 1)
+        return lambda raw, salted: _lead(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), how, loose) if salted else pairs(raw)
+
+    found, turn = [], 0
     while True:
         # Powers of two, so that runs which hold much the same rows salt them alike and find the same links.
         salts = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / limit)))).cast("bigint")
-        if turn:
-            salts = F.greatest(salts, F.lit(2))  # leaders are compared as such, also in one group
-        salted = every.withColumn("n_salts", salts).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5 + turn)), F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.col("n_salts"))))
-        links = cut(_linked(salted, how), "links")
+        salted = every.withColumn("salted", (F.col("n") > limit) | F.lit(turn > 0)).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5 + turn)), salts))
+        links = cut(_linked(salted, by_leaders(turn)), "links")
         found.append(links)
         drop(*spent)
+        turn += 1
         leaders = links.where("b is null").select("key", F.col("a").alias("id"), "sketch")
-        counts = cut(leaders.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")), "leaders")
-        largest, total = counts.agg(F.max("n"), F.sum("n")).first()
-        if not largest:
-            drop(counts)
-            break
-        every, spent = leaders.join(counts, F.col("key") == F.col("k")).select("key", "id", "sketch", "n"), [counts]
-        if largest <= limit or before is not None and total > 0.7 * before:
-            last = cut(_linked(_in_blocks(every), how), "links")
-            found.append(last)
-            drop(counts)
+        counts = cut(leaders.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
+        spent = [counts]
+        largest = counts.agg(F.max("n")).first()[0] or 0
+        every = leaders.join(counts, F.col("key") == F.col("k")).select("key", "id", "sketch", "n")
+        if turn == 2 or largest <= BLOCK:
+            if largest:
+                found.append(cut(_linked(in_blocks(every), all_pairs(how.loose(2 * turn))), "links"))
+            drop(*spent)
             break
-        turn, before = turn + 1, total
     both = found[0].where("b is not null").select("a", "b")
     for f in found[1:]:
         both = both.unionByName(f.where("b is not null").select("a", "b"))
@@ -201,13 +218,31 @@ def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[
     return out
 
 
-def _in_blocks(rows: DataFrame, block: int = 1024) -> DataFrame:
+def bucket_pairs(rows: DataFrame, near: Callable[[list[bytes]], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Links (a, b) of rows (key, id, sketch) that share a key, every pair of a bucket compared by near(sketches); a spanning
+    forest of each linked set leaves a task. Buckets over BLOCK rows are compared in pairs of blocks."""
+    counts = cut(rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    sized = rows.join(counts, F.col("key") == F.col("k")).select("key", "id", "sketch", "n")
+
+    def work(raw: list[bytes], salted: bool):
+        return linked_sets(len(raw), near(raw)), []
+
+    links = cut(_linked(in_blocks(sized), work), "links")
+    out = cut(links.select("a", "b").distinct(), "edges")
+    drop(counts, links)
+    return out
+
+
+BLOCK = 1024
+
+
+def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (key, id, sketch, n) once for each pair of blocks they take part in, as salts: every pair of a key's rows meets in one
     group of about two blocks at most."""
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint")).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     salt = F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other")
-    return rows.select("key", salt.alias("salt"), F.lit(2).cast("bigint").alias("n_salts"), "id", "sketch")
+    return rows.select("key", salt.alias("salt"), F.lit(False).alias("salted"), "id", "sketch")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,32 +302,37 @@ def expand_pairs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other")
 
 
-def check_blocks(rows: DataFrame, payload: str, links: Callable[[list], Callable[[int, int], np.ndarray]], batch: int = 256) -> DataFrame:
+def check_blocks(rows: DataFrame, payload: str, links: Callable[[list, list], Callable[[int, int], np.ndarray]], strip: int = 256) -> DataFrame:
     """rows: grp, lo, hi, blk, id, weight and the payload column. Exact links of every pair of rows of a group, each pair
     evaluated once: per row and task (id, links: summed weights of the linked, root: a linked id to join, or the id itself).
 
-    links(payloads) prepares a block pair's payloads; its result gives for position ranges [i, i + batch) a boolean matrix
-    against all positions."""
+    links(left, right) prepares the payloads of the two blocks (one list twice for a block with itself); its result gives for
+    rows [i, j) of the left a boolean matrix against all rows of the right, a strip at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
             lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
             ids, weight = t.column("id").to_numpy(), t.column("weight").to_numpy()
-            left = t.column("blk").to_numpy() == lo
-            n = len(ids)
-            test = links(t.column(payload))
-            counts, label = np.zeros(n, np.int64), np.arange(n)
-            for i in range(0, n, batch):
-                j = min(n, i + batch)
+            raw, of_lo = t.column(payload).to_pylist(), t.column("blk").to_numpy() == lo
+            left = np.flatnonzero(of_lo)
+            right = left if lo == hi else np.flatnonzero(~of_lo)
+            if not len(left) or not len(right):
+                continue
+            one = [raw[k] for k in left]
+            test = links(one, one if lo == hi else [raw[k] for k in right])
+            counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for i in range(0, len(left), strip):
+                j = min(len(left), i + strip)
                 hit = test(i, j)
-                if lo != hi:  # across the two blocks only: the rest is the work of other tasks
-                    hit &= left[i:j, None] != left[None, :]
-                hit[np.arange(j - i), np.arange(i, j)] = False
-                counts[i:j] = hit @ weight
+                if lo == hi:
+                    hit[np.arange(j - i), np.arange(i, j)] = False
+                else:
+                    counts[right] += weight[left[i:j]] @ hit
+                counts[left[i:j]] += hit @ weight[right]
                 for k in np.flatnonzero(hit.any(1)).tolist():
-                    met = label[hit[k]]
-                    if (met != label[i + k]).any():
-                        met = np.unique(np.append(met, label[i + k]))
+                    met, own = label[right[hit[k]]], label[left[i + k]]
+                    if (met != own).any():
+                        met = np.unique(np.append(met, own))
                         label[np.isin(label, met)] = met[0]
             some = np.flatnonzero(counts)
             if len(some):

@@ -2,7 +2,8 @@
 
 Table t hashes a unit vector v to the quantised projections floor((a_i . v + b_i) / width), i = 1..k. Two unit vectors of cosine
 c lie at distance sqrt(2 - 2c), which fixes how often they share a table; the number of tables follows from the target recall.
-Rows that share a bucket are screened by sign bits of other projections, candidate groups are checked by exact cosines."""
+Rows that share a bucket are compared by their vectors in 8-bit steps, which is off by little, so what is linked there is linked
+in truth or nearly so and groups do not grow by chance; those groups are then checked, and counted, by exact cosines."""
 
 from __future__ import annotations
 
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, table
-from .linking import Sketch, block_pairs, bucket_links, check_blocks, components, expand_pairs
+from .linking import block_pairs, bucket_pairs, check_blocks, components, expand_pairs
 
-BITS = Sketch(bits=True, direct=188, absorb=216, loose=154)  # of 256 sign bits: cosine 0.95 agrees in 230 +- 5, unrelated in 128 +- 8
+BUCKET = 256  # unrelated vectors (at a right angle) that a bucket holds on the average: comparing them costs less than more tables
+DIMS = 128  # longer vectors are compared in so many projected dimensions
 
 
 def share_of_projection(distance: float, width: float) -> float:
@@ -44,6 +46,24 @@ def _unit(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(good, np.int64), rows
 
 
+def steps(x: np.ndarray, project: np.ndarray | None) -> np.ndarray:
+    """Unit vectors, projected if they are long, in steps of a 127th of their largest component."""
+    y = x if project is None else x @ project
+    return np.rint(y * (127 / np.abs(y).max(1, keepdims=True))).astype(np.int8)
+
+
+def screen(cosine: float, dims: int) -> float:
+    """Least cosine that two vectors of `cosine` may have after steps(): rounding turns each by an angle of sin sqrt(dims) / 254 at
+    most; a projection has a deviation of (1 - c * c) / sqrt(DIMS) besides, of which six are allowed."""
+    turned = math.asin(min(1.0, math.sqrt(min(dims, DIMS)) / 254))
+    low = cosine if dims <= DIMS else cosine - 6 * (1 - cosine * cosine) / math.sqrt(DIMS)
+    return math.cos(min(math.pi, math.acos(max(-1.0, low)) + 2 * turned))
+
+
+def projection(dims: int) -> np.ndarray | None:
+    return np.random.default_rng(dims + 7).normal(size=(dims, DIMS)) / math.sqrt(DIMS) if dims > DIMS else None
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, k: int | None = None, width: float = 2.0, recall: float = 0.999) -> DataFrame:
     """One row per input row: id, n_links (other vectors of cosine >= `cosine`), component_id (smallest id reachable), kept.
 
@@ -51,66 +71,71 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     lengths with each other. Equal vectors (also under one id in repeated rows) are classes; only representatives are hashed,
     and each counts as often as it occurs. Repeated ids with different vectors are different vectors that share a component id
     range. A null id links with nothing and gets a null component. No rows give no rows.
-    k defaults to what leaves about eight unrelated vectors (at a right angle) in a bucket, given the row count; `recall` is that
-    of a pair at the threshold to share a table, and sets the number of tables."""
+    k defaults to what leaves about BUCKET unrelated vectors in a bucket, given the row count; `recall` is that of a pair at the
+    threshold to share a table, and sets the number of tables, which grows with the logarithm of the rows."""
     if k is None:
-        k = max(8, round(math.log(max(vectors.count(), 2) / 8) / -math.log(share_of_projection(math.sqrt(2), width))))
+        k = max(4, round(math.log(max(vectors.count(), 2) / BUCKET) / -math.log(share_of_projection(math.sqrt(2), width))))
     n_tables = tables_needed(cosine, k, width, recall)
 
     def sign(batches):
         import xxhash
 
-        rng_of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        drawn: dict[int, tuple] = {}
         for b in batches:
             good, rows = _unit(b.column(1))
             key1, key2 = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             tables: list = [None] * b.num_rows
-            bits: list = [None] * b.num_rows
+            short: list = [None] * b.num_rows
             units: list = [None] * b.num_rows
             for d in sorted({len(r) for r in rows}):
                 own = [j for j, r in enumerate(rows) if len(r) == d]
-                if d not in rng_of:
+                if d not in drawn:
                     rng = np.random.default_rng(d)
-                    rng_of[d] = rng.normal(size=(d, n_tables * k)), rng.uniform(0, width, n_tables * k), rng.normal(size=(d, 256))
-                a, shift, planes = rng_of[d]
+                    drawn[d] = rng.normal(size=(d, n_tables * k)), rng.uniform(0, width, n_tables * k), projection(d)
+                a, shift, project = drawn[d]
                 for i in range(0, len(own), 512):
                     part = own[i : i + 512]
                     x = np.stack([rows[j] for j in part])
                     cells = np.floor((x @ a + shift) / width).astype(np.int16).reshape(len(part), n_tables, k)
-                    signs = np.packbits(x @ planes >= 0, axis=1)
+                    stepped = steps(x, project)
                     for r, j in enumerate(part):
                         g = good[j]
                         key1[g] = xxhash.xxh64_intdigest(x[r].tobytes(), 1) - 2**63
                         key2[g] = xxhash.xxh64_intdigest(x[r].tobytes(), 2) - 2**63
-                        tables[g] = [xxhash.xxh64_intdigest(cells[r, t].tobytes(), t + 100 * d) - 2**63 for t in range(n_tables)]
-                        bits[g], units[g] = signs[r].tobytes(), x[r].tobytes()
+                        tables[g] = [xxhash.xxh64_intdigest(cells[r, t].tobytes(), t + 100_000 * d) - 2**63 for t in range(n_tables)]
+                        short[g], units[g] = d.to_bytes(4, "little") + stepped[r].tobytes(), x[r].tobytes()
             ok = np.zeros(b.num_rows, bool)
             ok[good] = True
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key1, mask=~ok), pa.array(key2, mask=~ok), pa.array(tables, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(units, pa.binary())], ["id", "k1", "k2", "tables", "bits", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key1, mask=~ok), pa.array(key2, mask=~ok), pa.array(tables, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(units, pa.binary())], ["id", "k1", "k2", "tables", "short", "unit"])
+
+    def near(raw: list[bytes]):
+        """Which of a bucket's rows may link with one: those of its length whose stepped vectors reach the screened cosine."""
+        dims = np.array([int.from_bytes(r[:4], "little") for r in raw])
+        x = np.zeros((len(raw), max(len(r) for r in raw) - 4), np.float32)
+        for i, r in enumerate(raw):
+            x[i, : len(r) - 4] = np.frombuffer(r, np.int8, offset=4)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        least = np.array([screen(cosine, d) for d in dims]) - 1e-4
+        return lambda i, rest: (x[rest] @ x[i] >= least[i]) & (dims[rest] == dims[i])
+
+    def links(left: list[bytes], right: list[bytes]):
+        """Exact cosines of the left's rows with the right's; vectors of different lengths do not link."""
+        size = max(map(len, [*left, *right]))
+        x, y = (np.stack([np.frombuffer(r.ljust(size, b"\0"), np.float64) for r in side]) for side in (left, right))
+        p, q = (np.array([len(r) for r in side]) for side in (left, right))
+        return lambda i, j: ((x[i:j] @ y.T) >= cosine) & (p[i:j, None] == q[None, :])
 
     plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    signed = cut(plain.mapInArrow(sign, "id bigint, k1 bigint, k2 bigint, tables array<bigint>, bits binary, unit binary"), "vectors")
+    signed = cut(plain.mapInArrow(sign, "id bigint, k1 bigint, k2 bigint, tables array<bigint>, short binary, unit binary"), "vectors")
     usable = signed.where("k1 is not null and id is not null")
-    grouped = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("tables").alias("tables"), F.first("bits").alias("bits"), F.first("unit").alias("unit"))
+    grouped = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("tables").alias("tables"), F.first("short").alias("short"), F.first("unit").alias("unit"))
     classes = cut(grouped.withColumn("cls", F.xxhash64("k1", "k2")), "classes")
-    rows = classes.select(F.col("cls").alias("id"), F.col("bits").alias("sketch"), F.posexplode("tables").alias("t", "value")).select(F.xxhash64("t", "value").alias("key"), "id", "sketch")
-    edges = bucket_links(rows, BITS)
+    rows = classes.select(F.col("cls").alias("id"), F.col("short").alias("sketch"), F.posexplode("tables").alias("t", "value")).select(F.xxhash64("t", "value").alias("key"), "id", "sketch")
+    edges = bucket_pairs(rows, near)
     candidates = components(edges)
     members = cut(classes.join(candidates, F.col("cls") == F.col("id")).select(F.col("component").alias("grp"), "id", "weight", "unit"), "members")
     blocks = block_pairs(members, F.octet_length("unit") / 8, largest=2048)
     drop(edges, candidates, members)
-
-    def links(column):
-        raw = column.to_pylist()
-        sizes = np.array([len(r) for r in raw])
-        width_ = sizes.max()
-        x = np.stack([np.frombuffer(r.ljust(width_, b"\0"), np.float64) for r in raw])
-
-        def test(i, j):
-            return ((x[i:j] @ x.T) >= cosine) & (sizes[i:j, None] == sizes[None, :])
-
-        return test
-
     found = cut(check_blocks(expand_pairs(blocks), "unit", links), "checked")
     drop(blocks)
     return results(signed, classes, found, id_col)
