@@ -4,7 +4,7 @@ Documents become token pieces of at most `capacity`; pieces are dealt to partiti
 decreasing. A dual-feasible-function bound gives the fewest bins a partition's lengths can need. A partition that meets it is
 certified and gives up its emptiest bin at most, which holds the bound's rounding; one with a gap gives up all bins that are not
 full enough. Those pieces are dealt anew into fewer partitions and packed again, until one partition is left or a round takes
-up too little."""
+up too little; what is then packed above its bound is marked. certify() holds the whole result against the bound of all lengths."""
 
 from __future__ import annotations
 
@@ -31,16 +31,18 @@ _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones themselves, the others in order from U+0100.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_CACHE = 700_000
+_CACHE, _CACHE_IDS, _CACHE_CHARS = 700_000, 8_000_000, 32_000_000  # words, their ids and their characters kept at most
 
 
 class _Places(dict):
     """Word -> number; a new word gets the next one and waits in `pending`."""
 
     pending: list[str]
+    chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
+        self.chars += len(word)
         self.pending.append(word)
         return k
 
@@ -115,7 +117,7 @@ a special token, by the tokenizer as loaded; else special tokens written in a te
             self._store(np.fromiter(map(self.place.__getitem__, part), np.int64, len(part)), sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > _CACHE:
+        if len(self.place) > _CACHE or self.n_ids > _CACHE_IDS or self.place.chars > _CACHE_CHARS:
             self.reset()
         get, rows = self.place.__getitem__, []
         for t in texts:
@@ -197,9 +199,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Fewest bins by dual feasible functions: volume; the Martello-Toth functions (over capacity - t counts whole, under t
     nothing) for every t up to half; and the rounding functions floor((k + 1) x) / k for k = 1..20, x itself where whole."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """lower_bound of so many pieces of each length from 0 to capacity."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     above, volume = np.cumsum(count[::-1])[::-1], np.concatenate([[0], np.cumsum(count * size)])
@@ -215,38 +219,48 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, group: int = GROUP, full: float = 0.995, rounds: int = 8) -> DataFrame:
-    """Rows of pieces with sequence_id and offset (gapless from 0 in each sequence).
+ADDED = ["sequence_id", "offset", "certified"]
+
+
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, group: int = GROUP, full: float = 0.995) -> DataFrame:
+    """Rows of pieces with sequence_id, offset (gapless from 0 in each sequence) and certified: whether the row's partition, when
+    it was packed for good, met the bound of its lengths.
 
-    Rows are dealt by a hash of all their columns and salt, about `group` to a partition: rows repeated in all columns are dealt
-    alike, at worst all into one partition, which is packed in a stream of parts of at most 4 * group rows each. Bins filled to
-    `full` stay in any round; the rest of an uncertified partition's bins are exchanged. No rows give no rows. Lengths from 1 to
-    capacity are expected; null lengths and lengths out of that range raise."""
+    Rows are dealt by the number of their place in the table and a salt, about `group` to a partition, whatever they hold, so
+    repeated rows spread. Bins filled to `full` stay in any round; the rest of an uncertified partition's bins are exchanged for
+    as long as a round takes up a tenth of what is left. Input columns named sequence_id, offset or certified are replaced. No
+    rows give no rows. Lengths from 1 to capacity are expected; null lengths and lengths out of that range raise."""
+    pieces = pieces.drop(*[c for c in pieces.columns if c in ADDED])
+    if length_col not in pieces.columns:
+        raise ValueError(f"no column {length_col!r} of lengths")
     names = pieces.columns
-    schema = pieces.schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    done_parts, left, n = [], cut(pieces, "pieces"), None
-    for turn in range(rounds):
-        n_now = left.count()
-        if n_now == 0:
-            break
+    part_col = "__grp"
+    while part_col in names:
+        part_col += "_"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    # Rows packed together at most, and numbers for the bins of a partition: its rows are binomial around `group`.
+    most, room = 4 * group, 64 * group
+    done_parts, left, before, turn, used = [], cut(pieces, "pieces"), None, 0, 0
+    while n_now := left.count():
         n_groups = max(1, -(-n_now // group))
-        last = n_groups == 1 or turn == rounds - 1 or (n is not None and n_now > 0.9 * n)
-        n = n_now
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(turn)), F.lit(n_groups))
-        dealt = left.withColumn("__grp", salt.cast("bigint")).select("__grp", *[F.col(f"`{c}`") for c in names])
+        last = n_groups == 1 or before is not None and n_now > 0.9 * before
+        before = n_now
+        dealt = left.withColumn(part_col, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(n_groups)).cast("bigint")).select(part_col, *[F.col(f"`{c}`") for c in names])
 
-        def run(batches: Iterator[pa.RecordBatch], turn=turn, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], first=used, last=last) -> Iterator[pa.RecordBatch]:
             for whole in groups(batches, 1):
-                grp = whole.column("__grp")[0].as_py()
-                for k, i in enumerate(range(0, whole.num_rows, 4 * group)):
-                    t = whole.slice(i, 4 * group)
+                number = first + whole.column(part_col)[0].as_py() * room
+                if whole.num_rows > room:
+                    raise ValueError("a partition holds more rows than it has numbers")
+                for i in range(0, whole.num_rows, most):
+                    t = whole.slice(i, most)
                     lengths = t.column(length_col).to_numpy()
                     if t.column(length_col).null_count or lengths.min() < 1 or lengths.max() > capacity:
                         raise ValueError("a length is null or out of range")
                     bins, fill = best_fit_decreasing(lengths, capacity)
+                    met = len(fill) == lower_bound(lengths, capacity)
                     stays = np.ones(len(fill), bool)
-                    if not last and len(fill) > lower_bound(lengths, capacity):
+                    if not last and not met:
                         stays = np.array(fill) >= full * capacity
                     elif not last and min(fill) < full * capacity:
                         stays[int(np.argmin(fill))] = False
@@ -256,25 +270,37 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
                     base = np.repeat(np.concatenate([[0], ends])[heads], np.diff(np.append(heads, len(order))))
                     offset = np.empty(len(order), np.int64)
                     offset[order] = ends - lengths[order] - base
-                    sequence = ((turn << 58) | (grp << 26) | (k << 13)) + bins
-                    kept = stays[bins]
-                    t = t.drop_columns(["__grp"]).append_column("sequence_id", pa.array(sequence, mask=~kept)).append_column("offset", pa.array(offset, mask=~kept))
+                    sequence, kept = number + bins, stays[bins]
+                    number += len(fill)
+                    t = t.drop_columns([part_col]).append_column("sequence_id", pa.array(sequence, mask=~kept)).append_column("offset", pa.array(offset, mask=~kept)).append_column("certified", pa.array(np.full(len(bins), met)))
                     yield from t.combine_chunks().to_batches()
 
-        packed = dealt.repartition("__grp").sortWithinPartitions("__grp").mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
+        packed = dealt.repartition(part_col).sortWithinPartitions(part_col).mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint, certified boolean")
         packed = cut(packed, "packed")
         drop(left)
         done_parts.append(packed.where("sequence_id is not null"))
         left = packed.where("sequence_id is null").select(*[F.col(f"`{c}`") for c in names])
+        used += n_groups * room
+        turn += 1
         if last:
             break
     if not done_parts:
-        return pieces.withColumn("sequence_id", F.lit(None).cast("bigint")).withColumn("offset", F.lit(None).cast("bigint"))
+        return pieces.withColumns({"sequence_id": F.lit(None).cast("bigint"), "offset": F.lit(None).cast("bigint"), "certified": F.lit(None).cast("boolean")})
     out = done_parts[0]
     for p in done_parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def certify(packed: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences of a packing, and the dual-feasible bound of all its lengths: the fewest that any packing has. Lengths are
+    counted on the executors; at most `capacity` counts come to the driver."""
+    counts = packed.groupBy(F.col(length_col).alias("n")).agg(F.count(F.lit(1)).alias("times")).collect()
+    count = np.zeros(capacity + 1, np.int64)
+    for r in counts:
+        count[r["n"]] = r["times"]
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(count, capacity)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False, specials=True))
