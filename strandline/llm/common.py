@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is set only where none is."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandline-{name}-{uuid.uuid4().hex[:12]}"
+from strandline.session import scratch
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -57,20 +44,17 @@ def id_mod(id_col: str, m: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % m
 
 
-def class_sample(df: DataFrame, class_col: str, keys: list[str], per_class: int, max_classes: int = 256) -> tuple[DataFrame, list, int]:
+def class_sample(df: DataFrame, class_col: str, keys: list[str], per_class: int) -> tuple[DataFrame, list, int]:
     """Rows of each class kept with probability per_class / its count (by a hash of the keys), without a shuffle of the rows.
 
-    Returns the rows, the class values and a hard bound on how many rows a caller may collect.
-    Null classes are left out. Of more than max_classes classes the most frequent ones are taken."""
-    counts = (
-        df.where(F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), class_col).limit(max_classes).collect()
-    )
+    Returns the rows, the class values and a hard bound on how many rows a caller may collect: 2 * per_class for each class.
+    Null classes are left out; every other class is taken. Classes are label values, counted on the executors; their counts are
+    all that comes to the driver."""
+    counts = df.where(F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return df.where(F.lit(False)), [], 0
-    rate = F.lit(0)
-    for c in counts:
-        rate = F.when(F.col(class_col) == F.lit(c[0]), F.lit(min(1 << 30, int(per_class / c["n"] * (1 << 30)) + 1))).otherwise(rate)
+    rates = [min(1 << 30, int(per_class / c["n"] * (1 << 30)) + 1) for c in counts]
+    rate = F.try_element_at(F.map_from_arrays(F.lit([c[0] for c in counts]), F.lit(rates)), F.col(class_col))
     kept = df.where(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << 30)) < rate)
     return kept, sorted(c[0] for c in counts), 2 * per_class * len(counts)
 
