@@ -77,7 +77,7 @@ class ToxicityModel:
             if found and self.exceptions:
                 excused = [(b, e) for b, e, _ in hits(folded, spans)]
                 found = [x for x in found if not any(b <= x[0] and x[1] <= e for b, e in excused)]
-            return sum(w for _, _, w in found), folded.count(" ") + folded.count("\n") + 1, found
+            return sum(w for _, _, w in found), len(_WORD.findall(folded)), found
 
         return match
 
@@ -117,8 +117,9 @@ def first_of_copies(texts: list[str], hashes: int = 4) -> list[int]:
 
 
 def fit(texts: list[str], toxic: list[int], least_g2: float = 24.0, least_ratio: float = 8.0, longest: int = 14) -> ToxicityModel:
-    """Lexicon entries are words and beginnings of longer words, of 4 to `longest` letters, whose share of toxic documents is least_ratio times that of
-    clean ones, at a log-likelihood ratio of least_g2, near copies counted once; each grows to the longest beginning that keeps 95 % of its documents.
+    """Lexicon entries are whole words of up to `longest` letters and beginnings, of 4 letters at least, of longer words, whose
+    share of toxic documents is least_ratio times that of clean ones, at a log-likelihood ratio of least_g2, near copies counted
+    once; each beginning grows to the longest one that keeps 95 % of its documents.
     Exceptions are whole words that begin like an entry but are no sign of toxicity, and two-word phrases around entries that
     recur in clean documents and hardly in toxic ones."""
     fresh = first_of_copies(texts)
@@ -130,7 +131,7 @@ def fit(texts: list[str], toxic: list[int], least_g2: float = 24.0, least_ratio:
 
     def beginnings(ws, only=None):
         """Beginnings of longer words, and whole words marked by a final NUL."""
-        found = {w[:k] for w in ws for k in range(4, min(len(w), longest + 1))} | {w + "\0" for w in ws if 4 <= len(w) <= longest}
+        found = {w[:k] for w in ws for k in range(4, min(len(w), longest + 1))} | {w + "\0" for w in ws if len(w) <= longest}
         return found if only is None else found & only.keys()
 
     p: Counter = Counter()
@@ -154,7 +155,7 @@ def fit(texts: list[str], toxic: list[int], least_g2: float = 24.0, least_ratio:
         while nxt := [c for c in children.get(k, []) if p[c] >= 0.95 * p[k]]:
             k = nxt[0]
         weight = math.log(ratio(k))
-        if k[-1] == "\0" and n[k[:-1]] < 3:
+        if k[-1] == "\0" and len(k) > 4 and n[k[:-1]] < 3:
             k = k[:-1]  # nothing speaks against its longer forms
         lexicon[k] = weight
     spared = sorted({w[:-1] for w in n if w[-1] == "\0" and w not in lexicon and n[w] >= 3 and ratio(w) < 3 and any(w[:i] in lexicon for i in range(4, len(w)))})
@@ -225,8 +226,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return map_texts(docs, id_col, text_col, "score double, n_hits bigint, weight double", make)
 
 
-def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """Rows of docs, all columns, that score under the threshold; one pass, no join."""
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, that score under the threshold; one pass, no join. Null and empty texts have no hits and stay."""
     from .language import filter_texts
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -241,7 +242,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
 
         return f
 
-    return filter_texts(docs, "text", make)
+    return filter_texts(docs, text_col, make)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
