@@ -36,7 +36,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
 class PieceLattice:
     """theta scales the piece scores: 0 samples segmentations uniformly, large values tend to the best one."""
 
-    def __init__(self, model_file: str, theta: float = 1e-3, most_words: int = 300_000) -> None:
+    def __init__(self, model_file: str, theta: float = 1e-3, most_words: int = 300_000, most_states: int = 6_000_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -61,7 +61,7 @@ class PieceLattice:
         self.longest = max(map(len, self.weight))
         self.prefixes = {w[:k] for w in self.weight for k in range(1, len(w) + 1)}
         self._trie()
-        self.most_words = most_words
+        self.most_words, self.most_states = most_words, most_states
         self._reset()
 
     def _reset(self) -> None:
@@ -203,7 +203,7 @@ class PieceLattice:
 
     def sample(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """Ids of one sampled segmentation per text; equal (key, text) give equal ids whatever else is in the batch."""
-        if len(self.words) > self.most_words:
+        if len(self.words) > self.most_words or self.n_states > self.most_states:  # a state for each character of the words kept
             self._reset()
         words, split = self.words, [_WORD.findall(t) for t in texts]
         counts = [len(w) for w in split]
@@ -270,7 +270,8 @@ def sample_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     The sample depends on the row key and the text alone (crc32 of the key's text seeds it), not on partitions or batches; a
     null key counts as the empty text. Null and empty texts give no pieces and decode to ''. Characters outside the vocabulary
     and a literal U+2581 go through byte pieces, so decode(ids) is the text. Repeated rows each get a row with equal ids; no
-    rows give no rows; other columns are not read. A map over the scan without shuffle; a task keeps at most 300,000 words beside a batch's."""
+    rows give no rows; other columns are not read. A map over the scan without shuffle; a worker keeps at most 300,000
+    words of six million characters beside a batch's."""
 
     def make():
         lattice = _lattice(model_file, theta)

@@ -2,8 +2,9 @@
 temperature-calibrated probabilities.
 
 Words and shape marks (capitals, digits, sign runs, repeats) get sparse ternary index vectors from their hash. A word's vector
-sums the index vectors of its neighbours in the training sample; a word not seen there keeps its own index vector. A document
-is the mean of its words' vectors, their mean spread, and a few length-free ratios."""
+sums the index vectors of its neighbours in the training sample, of which the vectors are a part: they are fitted with the network
+on the same bounded sample. Words not frequent there share one of BUCKETS rows by their hash. A document is the mean of its words'
+vectors, their mean spread, and a few length-free ratios."""
 
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ from .toxicity import labelled
 
 DIM, NONZERO, WINDOW = 96, 6, 2
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
-_CACHE = 200_000
+_CACHE, _LONG = 200_000, 64  # tokens kept, and the characters of the longest one that is
 
 
 def index_vector(token: str) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +65,9 @@ class Vectors:
                     row = self.vocabulary.get(low)
                     if row is None:
                         row = len(self.vocabulary) + zlib.crc32(low.encode("utf-8", "replace")) % BUCKETS
-                    k = cache[t] = row * 8 + shape(t)
+                    k = row * 8 + shape(t)
+                    if len(t) <= _LONG:
+                        cache[t] = k
                 out.append(k)
         return np.array(out, np.int64)
 
