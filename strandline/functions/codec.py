@@ -12,9 +12,8 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Payload bits of the delta-of-delta classes; class k has the prefix of k ones and a zero, the last one no zero.
@@ -123,13 +122,29 @@ def join(first: bytes, second: bytes, used: int) -> bytes:
     return (first[:-1] if used else first) + second
 
 
-def decode_stream(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Timestamps and values in the order of writing."""
+def decode_stream(data: bytes, state: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Timestamps and values in the order of writing; `state` is that of the encoder before these bytes."""
+    lane = _start(state)
+    ts, bits = _decode_on(data, lane)
+    return np.array(ts, np.uint64).view(np.int64), np.array(bits, np.uint64).view(np.float64)
+
+
+def _start(state: str | None) -> tuple[int, int, int, int, int, int, int]:
+    """(points before, time, delta, value bits, lead, trail, bit to start at) of a decoder."""
+    if state is None:
+        return 0, 0, 0, 0, 0, 0, 0
+    n, t, delta, v, lead, trail, _, used = json.loads(state)
+    return n, t & _MASK, delta, v, lead, trail, used
+
+
+_MASK = (1 << 64) - 1
+
+
+def _decode_on(data: bytes, lane: tuple[int, int, int, int, int, int, int]) -> tuple[list[int], list[int]]:
+    n, t, delta, v, lead, trail, at = lane
     total = 8 * len(data)
-    ts, bits, at = [], [], 0
-    t = delta = v = 0
-    lead = trail = 0
-    mask = (1 << 64) - 1
+    ts: list[int] = []
+    bits: list[int] = []
     # A window of the stream is held as one integer, so reading a field costs no more late in a long stream than early.
     base, span, word = 0, 0, 0
 
@@ -148,15 +163,16 @@ def decode_stream(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     while at < total:
         if not take(1):
             break
-        if not ts:
+        if not n:
             t = take(64)
         else:
             cls = 0
             while cls < len(CLASSES) - 1 and take(1):
                 cls += 1
             z = take(CLASSES[cls])
-            delta = (delta + ((z >> 1) ^ -(z & 1))) & mask
-            t = (t + delta) & mask
+            delta = (delta + ((z >> 1) ^ -(z & 1))) & _MASK
+            t = (t + delta) & _MASK
+        n += 1
         if take(1):
             if take(1):
                 lead = take(6)
@@ -169,94 +185,217 @@ def decode_stream(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             lead, trail = 64 - x.bit_length(), (x & -x).bit_length() - 1  # the window the next point may use
         ts.append(t)
         bits.append(v)
-    return np.array(ts, np.uint64).view(np.int64), np.array(bits, np.uint64).view(np.float64)
-
+    return ts, bits
+
+
+_TOGETHER = 64  # streams that are stepped together at least; fewer are decoded one by one
+_ONES = np.array([5 if k == 31 else (~k & 31).bit_length() and 5 - (~k & 31).bit_length() for k in range(32)])  # leading ones of five bits
+
+
+def decode_many(data: list[bytes], states: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of each stream, and the timestamps and values of all, stream by stream.
+
+    Streams are stepped together, a point of each at a time, by array operations; the last few long ones go on alone."""
+    n = len(data)
+    lanes = np.array([_start(s) for s in states], dtype=object).reshape(n, 7)
+    seen, at = lanes[:, 0].astype(np.int64), lanes[:, 6].astype(np.int64)
+    t, delta, v = (lanes[:, k].astype(np.uint64) for k in (1, 2, 3))
+    lead, trail = lanes[:, 4].astype(np.int64), lanes[:, 5].astype(np.int64)
+    sizes = np.array([len(d) for d in data], np.int64)
+    origin = 8 * (np.cumsum(sizes + 32) - sizes - 32)  # zeros after each stream: a field that runs over its end is read, then refused
+    at, end = at + origin, origin + 8 * sizes
+    raw = np.frombuffer(b"".join(d + bytes(32) for d in data), np.uint8)
+    words = np.zeros(max(len(raw) - 8, 0), np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | raw[k : k + len(words)]
+    payload = np.array(CLASSES)
+    out_lane, out_t, out_v = [], [], []
+    live = np.arange(n)
+
+    def take(k: np.ndarray) -> np.ndarray:
+        """k bits (0 to 64) of each live stream."""
+        p = at[live]
+        byte, shift = p >> 3, (p & 7).astype(np.uint64)
+        w = (words[byte] << shift) | (raw[byte + 8].astype(np.uint64) >> (np.uint64(8) - shift))
+        at[live] = p + k
+        return np.where(k > 0, w >> (64 - np.maximum(k, 1)).astype(np.uint64), np.uint64(0))
 
-def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | None = None, most_points: int = 1 << 20) -> DataFrame:
+    with np.errstate(over="ignore"):
+        while len(live) >= _TOGETHER:
+            live = live[at[live] < end[live]]
+            one = np.ones(len(live), np.int64)
+            live = live[take(one) > 0]
+            if not len(live):
+                break
+            new = seen[live] == 0
+            cls = _ONES[take(np.full(len(live), 5)).astype(np.int64)]
+            prefix = np.minimum(cls + 1, 5)
+            at[live] -= np.where(new, 5, 5 - prefix)
+            z = take(np.where(new, 64, payload[cls]))
+            change = (z >> np.uint64(1)) ^ (np.uint64(0) - (z & np.uint64(1)))
+            delta[live] = np.where(new, delta[live], delta[live] + change)
+            t[live] = np.where(new, z, t[live] + delta[live])
+            seen[live] += 1
+            two = take(np.full(len(live), 2)).astype(np.int64)
+            same, header = two < 2, two == 3
+            at[live] -= same  # a value equal to the one before has one control bit
+            head = take(np.where(header, 12, 0)).astype(np.int64)
+            own_lead = np.where(header, head >> 6, lead[live])
+            own_trail = np.where(header, 64 - (head >> 6) - (head & 63) - 1, trail[live])
+            x = take(np.where(same, 0, 64 - own_lead - own_trail)) << np.where(same, 0, own_trail).astype(np.uint64)
+            v[live] ^= x
+            some = ~same
+            changed = live[some]
+            lead[changed], trail[changed] = 64 - _bit_length(x[some]), _trailing(x[some])
+            if (at[live] > end[live]).any():
+                raise CodecError("the stream ends inside a point")
+            out_lane.append(live)
+            out_t.append(t[live])
+            out_v.append(v[live])
+    for i in live.tolist():
+        ts, bits = _decode_on(data[i], (int(seen[i]), int(t[i]), int(delta[i]), int(v[i]), int(lead[i]), int(trail[i]), int(at[i] - origin[i])))
+        out_lane.append(np.full(len(ts), i))
+        out_t.append(np.array(ts, np.uint64))
+        out_v.append(np.array(bits, np.uint64))
+    if not out_lane:
+        return np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    lane = np.concatenate(out_lane)
+    order = np.argsort(lane, kind="stable")
+    return np.bincount(lane, minlength=n), np.concatenate(out_t)[order].view(np.int64), np.concatenate(out_v)[order].view(np.float64)
+
+
+PART_POINTS = 1 << 20
+
+
+def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | None = None, most_points: int = PART_POINTS, block: int | None = None) -> DataFrame:
     """(series_id[, chunk], part, data, n_points, state): one stream per series and chunk, points in `order`.
 
-    A stream longer than most_points goes on in further parts, each a stream of its own, so a hot series is no one task's row.
-    No points give no rows."""
+    A stream longer than most_points goes on in further parts, each a stream of its own, so no task holds a whole series. With
+    `block`, parts are also cut at multiples of that many values of the first order column, and are dealt to tasks one by one, so
+    a hot series is not one task's. Parts of a series are in order; their numbers may have gaps. No points give no rows."""
     order = [order] if isinstance(order, str) else order
     keys = ["series_id", *([chunk] if chunk else [])]
-    types = [f"{k} {points.schema[k].dataType.simpleString()}" for k in keys]
-    from pyspark.sql import Window
+    first = F.floor(F.col(order[0]) / block).cast("bigint") if block else F.lit(0).cast("bigint")
+    rows = points.select(*keys, (first * F.lit(1 << 20)).alias("__part"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], "ts_nanos", "value")
+    by = [*keys, "__part"]
+    picked = rows.repartition(*by).sortWithinPartitions(*by, *[f"__o{k}" for k in range(len(order))]).select(*by, "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
+    return _encoded(picked, keys, most_points, fresh=True).drop("before")
+
+
+def encode_from(points: DataFrame, states: DataFrame, order: str = "arrival", most_points: int = PART_POINTS) -> DataFrame:
+    """(series_id, part, data, n_points, before, state): segments that continue the series' streams from saved states alone
+    (series_id, part, state; series without one begin). `before` is the state a segment is decoded from, its first byte holds the
+    bits that the one before it left over, and parts count on."""
+    new = points.select("series_id", F.lit(0).cast("bigint").alias("__part"), F.col(order).alias("__o"), "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
+    held = states.select("series_id", (F.col("part") + 1).alias("__part"), F.lit(None).cast(points.schema[order].dataType).alias("__o"), F.lit(None).cast("bigint").alias("ts_nanos"), F.lit(None).cast("double").alias("value"), "state")
+    rows = new.unionByName(held).repartition("series_id").sortWithinPartitions("series_id", F.col("state").asc_nulls_last(), "__o")
+    return _encoded(rows.select("series_id", "__part", "ts_nanos", "value", "state"), ["series_id"], most_points, fresh=False)
+
+
+def _encoded(rows: DataFrame, keys: list[str], most_points: int, fresh: bool) -> DataFrame:
+    """Encodes rows (keys, __part, ts_nanos, value, state) sorted by keys: a row with a state comes first of its series and is no
+    point. fresh: each part is a stream of its own; else a part goes on from the one before."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    rows = points.withColumn("place", place.cast("bigint")).withColumn("part", F.floor((F.col("place") - 1) / most_points).cast("bigint"))
+    k_ = len(keys)
+    names = [*keys, "part", "data", "n_points", "before", "state"]
+    kinds = [*(to_arrow_type(rows.schema[k].dataType) for k in keys), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    types = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(len(keys) + 4)]
-        for t in _runs(batches, len(keys) + 1):
-            e = Encoder()
-            data = e.encode(t.column("ts_nanos").to_numpy(), t.column("value").to_numpy())
-            for c, v in zip(out, [*(t.column(k)[0] for k in [*keys, "part"]), data, t.num_rows, e.state()], strict=True):
-                c.append(v.as_py() if isinstance(v, pa.Scalar) else v)
-            if len(out[0]) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-                out = [[] for _ in out]
+        out: list[list] = [[] for _ in names]
+        ts: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        key, part, encoder, held = None, 0, Encoder(), 0
+
+        def emit() -> None:
+            nonlocal part, encoder, held
+            if not held:
+                return
+            before = encoder.state()
+            data = encoder.encode(np.concatenate(ts), np.concatenate(values))
+            for c, x in zip(out, [*key, part, data, held, before, encoder.state()], strict=True):
+                c.append(x)
+            ts.clear()
+            values.clear()
+            part, held = part + 1, 0
+            if fresh:
+                encoder = Encoder()
+
+        def made() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+            for c in out:
+                c.clear()
+            return b
+
+        same = k_ + 1 if fresh else k_  # columns that tell streams apart
+        for b in batches:
+            if not b.num_rows:
+                continue
+            change = np.zeros(b.num_rows, bool)
+            for c in b.columns[:same]:
+                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                change[1:] |= codes[1:] != codes[:-1]
+            state = b.column(k_ + 3)
+            times, numbers = b.column(k_ + 1).fill_null(0).to_numpy(), b.column(k_ + 2).fill_null(0).to_numpy()
+            starts = [0, *np.flatnonzero(change).tolist()]
+            for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                own = [c[i].as_py() for c in b.columns[:same]]
+                if own[:k_] + ([own[k_]] if fresh else []) != (None if key is None else [*key] + ([base] if fresh else [])):
+                    emit()
+                    key, base, part, encoder = own[:k_], own[k_] if fresh else 0, b.column(k_)[i].as_py(), Encoder()
+                    if state[i].is_valid:
+                        encoder = Encoder.restore(state[i].as_py())
+                        i += 1
+                while i < j:
+                    n = min(j - i, most_points - held)
+                    ts.append(times[i : i + n])
+                    values.append(numbers[i : i + n])
+                    held += n
+                    i += n
+                    if held >= most_points:
+                        emit()
+            if len(out[0]) >= 1024 or sum(map(len, out[k_ + 1])) > 1 << 24:
+                yield made()
+        emit()
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield made()
 
-    names = [*keys, "part", "data", "n_points", "state"]
-    kinds = [*(to_arrow_type(points.schema[k].dataType) for k in keys), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-    # Series are sorted next to each other: a task encodes thousands of them without a call for each.
-    picked = rows.select(*keys, "part", "place", "ts_nanos", "value").repartition(*keys, "part").sortWithinPartitions(*keys, "part", "place")
-    return picked.mapInArrow(run, ", ".join([*types, "part bigint", "data binary", "n_points bigint", "state string"]))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Tables of rows that are equal in the first n_keys columns, of batches sorted by them."""
-    kept: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        change = np.zeros(b.num_rows, bool)
-        for k in range(n_keys):
-            c = b.column(k)
-            codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            change[1:] |= codes[1:] != codes[:-1]
-            if kept and kept[-1].column(k)[-1].as_py() != c[0].as_py():
-                change[0] = True
-        starts = [0, *(np.flatnonzero(change[1:]) + 1).tolist()]
-        for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
-            if kept and (i or change[0]):
-                yield pa.Table.from_batches(kept)
-                kept = []
-            kept.append(b.slice(i, j - i))
-    if kept:
-        yield pa.Table.from_batches(kept)
+    return rows.mapInArrow(run, ", ".join([*types, "part bigint", "data binary", "n_points bigint", "before string", "state string"]))
 
 
 def decode(streams: DataFrame, chunk: str | None = None) -> DataFrame:
-    """(series_id[, chunk], place, ts_nanos, value) of each stream, place from 1 in the stream's order."""
+    """(series_id[, chunk], place, ts_nanos, value) of each stream, place from 1 in the stream's order, counted on over the parts
+    of streams that have any (columns part and n_points). A column `before` holds states that segments are decoded from."""
     keys = ["series_id", *([chunk] if chunk else [])]
-    types = [f"{k} {streams.schema[k].dataType.simpleString()}" for k in keys]
+    types = [f"`{k}` {streams.schema[k].dataType.simpleString()}" for k in keys]
+    earlier = F.lit(0).cast("bigint")
+    if {"part", "n_points"} <= set(streams.columns):
+        over = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = F.coalesce(F.sum("n_points").over(over), F.lit(0)).cast("bigint")
+    before = F.col("before") if "before" in streams.columns else F.lit(None).cast("string")
+    k_ = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                ts, values = decode_stream(b.column(len(keys))[i].as_py() or b"")
-                own = [pa.array([b.column(k)[i].as_py()] * len(ts), b.column(k).type) for k in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(1, len(ts) + 1)), pa.array(ts), pa.array(values)], [*keys, "place", "ts_nanos", "value"])
-
-    return streams.select(*keys, "data").mapInArrow(run, ", ".join([*types, "place bigint", "ts_nanos bigint", "value double"]))
-
-
-def encode_resumed(first: DataFrame, second: DataFrame, order: str = "arrival") -> DataFrame:
-    """Streams of `first` continued by `second` from saved states alone: the first half's state is kept as a column, the second
-    half is encoded from it, and only the last partial byte is rewritten."""
-    half = encode(first, order).select("series_id", "data", "state")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(order)
-        data, state = (left["data"].iloc[0], left["state"].iloc[0]) if len(left) else (b"", None)
-        e = Encoder.restore(state)
-        used = e.used
-        more = e.encode(right["ts_nanos"].to_numpy(), right["value"].to_numpy())
-        return pd.DataFrame({"series_id": [key[0]], "data": [join(data, more, used) if len(right) else data], "state": [e.state()]})
-
-    rest = second.select("series_id", "ts_nanos", "value", order)
-    return half.groupBy("series_id").cogroup(rest.groupBy("series_id")).applyInPandas(run, "series_id string, data binary, state string")
+            sizes = np.array([len(x) if (x := d.as_buffer()) is not None else 0 for d in b.column(k_)], np.int64)
+            group = (np.cumsum(sizes) - sizes) >> 21  # about two megabytes of streams are decoded together
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                part = b.slice(i, j - i)
+                counts, ts, values = decode_many([d or b"" for d in part.column(k_).to_pylist()], part.column(k_ + 1).to_pylist())
+                row = np.repeat(np.arange(j - i), counts)
+                place = np.arange(len(ts)) - np.repeat(np.cumsum(counts) - counts, counts) + 1 + part.column(k_ + 2).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in range(k_)), pa.array(place), pa.array(ts), pa.array(values)], [*keys, "place", "ts_nanos", "value"])
+
+    return streams.select(*keys, "data", before.alias("before"), earlier.alias("earlier")).mapInArrow(run, ", ".join([*types, "place bigint", "ts_nanos bigint", "value double"]))
+
+
+def encode_resumed(first: DataFrame, second: DataFrame, order: str = "arrival", most_points: int = PART_POINTS) -> DataFrame:
+    """Streams of `first` continued by `second` from saved states alone: all parts of the first half, and segments that go on from
+    the state of its last part (see encode_from)."""
+    half = encode(first, order, most_points=most_points)
+    states = half.groupBy("series_id").agg(F.max(F.struct("part", "state")).alias("s")).select("series_id", "s.part", "s.state")
+    return half.withColumn("before", F.lit(None).cast("string")).unionByName(encode_from(second, states, order, most_points))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandline.operators.rank import place
 
 TARGET_BYTES = 4096
 POINT_BYTES = 16
@@ -31,46 +37,51 @@ def prune(index: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return index.where((F.col("last_ns") >= F.lit(start_ns)) & (F.col("first_ns") < F.lit(end_ns)))
 
 
-def compact(runs: DataFrame, order: str, size: str = "size_bytes", target: int = TARGET_BYTES) -> DataFrame:
+def last_chunks(index: DataFrame) -> DataFrame:
+    """(series_id, chunk_no, room): the last chunk of each series of a chunk index and the bytes it holds."""
+    sizes = index.groupBy("series_id", "chunk_no").agg(F.sum("size_bytes").alias("room"))
+    return sizes.groupBy("series_id").agg(F.max(F.struct("chunk_no", "room")).alias("c")).select("series_id", "c.chunk_no", "c.room")
+
+
+def compact(runs: DataFrame, order: str, size: str = "size_bytes", target: int = TARGET_BYTES, last: DataFrame | None = None) -> DataFrame:
     """Adds chunk_no: flushed runs of a series, in order, go to the last chunk while its size stays within target, else to the
-    next. Empty runs are skipped. Greedy placement depends on all earlier runs of its series, so a series' run sizes (16 bytes
-    each, not its points) are folded in one array; compact_grouped folds series of very many runs without that array."""
-    step = F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s"))
-    folded = runs.where(F.col(size) > 0).groupBy("series_id").agg(F.array_sort(F.collect_list(step)).alias("runs"))
-    place = F.expr(f"""
-        aggregate(runs,
-          struct(cast(array() as array<struct<o:{runs.schema[order].dataType.simpleString()},c:bigint>>) as placed, -1L as c, 0L as s),
-          (a, r) -> if(a.c >= 0 and a.s + r.s <= {int(target)}L,
-            struct(array_append(a.placed, struct(r.o as o, a.c as c)) as placed, a.c as c, a.s + r.s as s),
-            struct(array_append(a.placed, struct(r.o as o, a.c + 1 as c)) as placed, a.c + 1 as c, r.s as s)),
-          a -> a.placed)""")
-    placed = folded.select("series_id", F.explode(place).alias("p")).select("series_id", F.col("p.o").alias(order), F.col("p.c").alias("chunk_no"))
-    return runs.join(placed, ["series_id", order])
-
-
-def compact_grouped(runs: DataFrame, order: str, size: str = "size_bytes", target: int = TARGET_BYTES) -> DataFrame:
-    """The same placement by one streaming pass over each series' sorted runs, for series with very many runs."""
-    names = f"series_id string, {order} {runs.schema[order].dataType.simpleString()}, chunk_no bigint"
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order)
-        chunk, room, out = -1, -1, []
-        for s in pdf[size]:
-            if chunk >= 0 and room + s <= target:
-                room += s
-            else:
-                chunk, room = chunk + 1, s
-            out.append(chunk)
-        return pdf[["series_id", order]].assign(chunk_no=out)
-
-    placed = runs.where(F.col(size) > 0).select("series_id", order, size).groupBy("series_id").applyInPandas(fold, names)
-    return runs.join(placed, ["series_id", order])
-
-
-def split_large(points: DataFrame, most_points: int, order: str = "ts_nanos") -> DataFrame:
-    """Adds part: points of a series in `order`, cut after every most_points."""
-    place = F.row_number().over(Window.partitionBy("series_id").orderBy(order))
-    return points.withColumn("part", F.floor((place - 1) / most_points).cast("bigint"))
+    next. Empty runs are left out. last: (series_id, chunk_no, room) of chunks that are there already.
+
+    Greedy placement depends on all earlier runs of its series, so runs (not points) are sorted by series and order and folded in
+    one pass that holds two numbers, whatever a series' number of runs."""
+    names = runs.columns
+    rows = runs.where(F.col(size) > 0).withColumns({"__chunk": F.lit(None).cast("bigint"), "__room": F.lit(None).cast("bigint")})
+    if last is not None:
+        held = last.select("series_id", F.col("chunk_no").alias("__chunk"), F.col("room").cast("bigint").alias("__room"))
+        rows = rows.unionByName(held.join(runs.select("series_id").distinct(), "series_id", "left_semi"), allowMissingColumns=True)
+    schema = T.StructType([*runs.schema.fields, T.StructField("chunk_no", T.LongType())])
+    fields = [*names, "__chunk", "__room"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, chunk, room = None, -1, 0
+        for b in batches:
+            col = dict(zip(fields, b.columns, strict=True))
+            own = []
+            for s, n, c, r in zip(col["series_id"].to_pylist(), col[size].to_pylist(), col["__chunk"].to_pylist(), col["__room"].to_pylist(), strict=True):
+                if s != series:
+                    series, chunk, room = s, -1, 0
+                if c is not None:
+                    chunk, room = c, r
+                elif chunk >= 0 and room + n <= target:
+                    room += n
+                else:
+                    chunk, room = chunk + 1, n
+                own.append(None if c is not None else chunk)
+            placed = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(col[n] for n in names), placed], [*names, "chunk_no"]).filter(placed.is_valid())
+
+    sorted_ = rows.select(*fields).repartition("series_id").sortWithinPartitions("series_id", F.col("__chunk").asc_nulls_last(), order)
+    return sorted_.mapInArrow(fold, schema)
+
+
+def split_large(points: DataFrame, most_points: int, order: str = "ts_nanos", block: int | None = None) -> DataFrame:
+    """Adds part: points of a series in `order`, cut after every most_points. block: as in rank.place, for hot series."""
+    return place(points, ["series_id"], [order], block, "__place").withColumn("part", F.floor((F.col("__place") - 1) / most_points).cast("bigint")).drop("__place")
 
 
 def expire(rows: DataFrame, ttl_ns: int, now_ns: int | None = None, last: str = "ts_nanos") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.rank import place
 
-def kway_merge(points: DataFrame, stream: str = "stream") -> DataFrame:
+
+def kway_merge(points: DataFrame, stream: str = "stream", block: int | None = None) -> DataFrame:
     """All streams of a series in time order with their place in it; ties by stream, then value. Sorting spills, so the number
-    of streams and points is not bound by memory."""
-    order = Window.partitionBy("series_id").orderBy("ts_nanos", stream, "value")
-    return points.withColumn("place", F.row_number().over(order).cast("bigint"))
+    of streams and points is not bound by memory. block: nanoseconds of a run (see rank.place), for hot series."""
+    return place(points, ["series_id"], ["ts_nanos", stream, "value"], block)
 
 
 def merge_streams(streams: DataFrame) -> DataFrame:
@@ -21,8 +22,21 @@ def merge_streams(streams: DataFrame) -> DataFrame:
     return codec.encode(points.withColumn("arrival", F.col("place")), order=["ts_nanos", "arrival"])
 
 
-def run_split(points: DataFrame, order: str = "arrival") -> DataFrame:
-    """Adds run: the number of earlier points of the series that did not pass their predecessor, so each run is sorted."""
-    by = Window.partitionBy("series_id").orderBy(order)
-    broke = (F.col("ts_nanos") <= F.lag("ts_nanos").over(by)).cast("bigint")
-    return points.withColumn("__broke", F.coalesce(broke, F.lit(0).cast("bigint"))).withColumn("run", F.sum("__broke").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__broke")
+def run_split(points: DataFrame, order: str = "arrival", block: int | None = None) -> DataFrame:
+    """Adds run: the number of earlier points of the series that did not pass their predecessor, so each run is sorted.
+
+    With `block`, a series is cut into stretches of that many order values: their breaks are summed and scanned first, and the
+    first point of a stretch is held against the last one before it, so a hot series spreads over tasks."""
+    keys = ["series_id"] if block is None else ["series_id", "__part"]
+    rows = points if block is None else points.withColumn("__part", F.floor(F.col(order) / block))
+    by = Window.partitionBy(*keys).orderBy(order)
+    broke = F.coalesce((F.col("ts_nanos") <= F.lag("ts_nanos").over(by)).cast("bigint"), F.lit(0).cast("bigint"))
+    rows = rows.withColumn("__broke", broke).withColumn("run", F.sum("__broke").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__broke")
+    if block is None:
+        return rows
+    parts = rows.groupBy(*keys).agg(F.min_by("ts_nanos", order).alias("__first"), F.max_by("ts_nanos", order).alias("__last"), F.max("run").alias("__breaks"))
+    over = Window.partitionBy("series_id").orderBy("__part")
+    parts = parts.withColumn("__cross", F.coalesce((F.col("__first") <= F.lag("__last").over(over)).cast("bigint"), F.lit(0).cast("bigint")))
+    before = F.coalesce(F.sum(F.col("__breaks") + F.col("__cross")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    parts = parts.select(*keys, (before + F.col("__cross")).alias("__before"))
+    return rows.join(parts, keys).withColumn("run", F.col("run") + F.col("__before")).drop("__part", "__before")

@@ -69,6 +69,41 @@ def test_padding_ends_a_stream_and_cuts_raise():
     assert codec.Encoder().state() is None and codec.Encoder().last_encoded() is None and codec.Encoder().encode(np.array([], np.int64), np.array([])) == b""
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.tuples(I64, BITS), max_size=12), st.integers(0, 12)), min_size=70, max_size=90))
+def test_streams_decoded_together(streams):
+    data, states, want = [], [], []
+    for points, cut in streams:
+        e = codec.Encoder()
+        if points[:cut]:
+            e.encode(*arrays(points[:cut]))
+        states.append(e.state())
+        data.append(e.encode(*arrays(points[cut:])) if points[cut:] else b"")
+        states[-1] = states[-1] if points[cut:] else None
+        want.append(points[cut:])
+    counts, ts, values = codec.decode_many(data, states)
+    assert counts.tolist() == [len(w) for w in want]
+    assert ts.tolist() == [t for w in want for t, _ in w] and values.view(np.uint64).tolist() == [b for w in want for _, b in w]
+
+
+def test_cut_streams_raise_together():
+    whole = codec.Encoder().encode(np.arange(50), np.linspace(0, 1, 50))
+    with pytest.raises(codec.CodecError):
+        codec.decode_many([whole] * 79 + [whole[:-3]], [None] * 80)
+
+
+def test_resumed_streams_keep_every_part(spark):
+    rows = [("a", 10 - k, float(k), k) for k in range(8)] + [("b", 5, 1.0, 0), ("c", 6, 1.0, 7)]
+    df = spark.createDataFrame(rows, "series_id string, ts_nanos bigint, value double, arrival bigint")
+    made = codec.encode_resumed(df.where("arrival < 5"), df.where("arrival >= 5"), most_points=2)
+    assert made.where("series_id = 'a'").count() == 5
+    got = codec.decode(made).orderBy("series_id", "place").collect()
+    assert [(r.series_id, r.ts_nanos, r.value) for r in got] == [r[:3] for r in rows]
+    assert [r.place for r in got] == [*range(1, 9), 1, 1]  # places go on over the parts
+    hot = codec.decode(codec.encode(df, block=3)).orderBy("series_id", "place").collect()
+    assert [(r.series_id, r.ts_nanos) for r in hot] == [r[:2] for r in rows]
+
+
 def test_dataframe_codec(spark):
     rows = [("a", 3, -1.0, 0), ("a", 2, float("nan"), 1), ("a", 1, -0.0, 2), ("b", 2**62, 5e-324, 0)]
     df = spark.createDataFrame(rows, "series_id string, ts_nanos bigint, value double, arrival bigint")
