@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from strandline.operators import chunks, commitlog, ingest, merge, read, tags
 from strandline.plans.engine import Engine
 from strandline.session import scratch
 from strandline.sources import generator, wire
-from strandline.sources.model import customer_tags, event_points, hourly_points, order_points
+from strandline.sources.model import customer_tags, event_points, hourly_points, nanos, order_points
 from strandline.sources.store import Store, read_points, write_points
 from strandline.streaming import ingest as streaming
 
@@ -87,6 +89,12 @@ def append_arrival(spark, sf_dir):
     return ingest.append(event_points(spark, sf_dir)).select("series_id", "ts_nanos", "value", "place")
 
 
+@query(f"WITH {DP} SELECT series_id, ts_nanos, value, CAST(row_number() OVER (PARTITION BY series_id ORDER BY arrival) AS BIGINT) AS place FROM dp")
+def append_arrival_blocked(spark, sf_dir):
+    """The same by runs of arrival, as for a hot series."""
+    return ingest.append(event_points(spark, sf_dir), block=100_000).select("series_id", "ts_nanos", "value", "place")
+
+
 def _admit_sql(view: str, keys: str, order: str, status: str) -> str:
     return f"""WITH {dict(dp=DP, hr=HR, ord=ORD)[view]}, a AS (SELECT *, max(ts_nanos) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {view})
 SELECT series_id, ts_nanos, value{status}"""
@@ -126,12 +134,25 @@ def kway_merge(spark, sf_dir):
     return merge.kway_merge(event_points(spark, sf_dir)).select("series_id", "ts_nanos", "stream", "value", "place")
 
 
-@query(f"""WITH {DP}, b AS (SELECT *, CASE WHEN ts_nanos <= lag(ts_nanos) OVER (PARTITION BY series_id ORDER BY arrival) THEN 1 ELSE 0 END AS broke FROM dp)
-SELECT series_id, ts_nanos, value, CAST(sum(broke) OVER (PARTITION BY series_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM b""")
+@query(f"WITH {DP} SELECT series_id, ts_nanos, stream, value, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts_nanos, stream, value) AS BIGINT) AS place FROM dp")
+def kway_merge_blocked(spark, sf_dir):
+    return merge.kway_merge(event_points(spark, sf_dir), block=DAY).select("series_id", "ts_nanos", "stream", "value", "place")
+
+
+_RUNS = f"""WITH {DP}, b AS (SELECT *, CASE WHEN ts_nanos <= lag(ts_nanos) OVER (PARTITION BY series_id ORDER BY arrival) THEN 1 ELSE 0 END AS broke FROM dp)
+SELECT series_id, ts_nanos, value, CAST(sum(broke) OVER (PARTITION BY series_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM b"""
+
+
+@query(_RUNS)
 def run_split(spark, sf_dir):
     return merge.run_split(event_points(spark, sf_dir)).select("series_id", "ts_nanos", "value", F.col("run").cast("bigint").alias("run"))
 
 
+@query(_RUNS)
+def run_split_blocked(spark, sf_dir):
+    return merge.run_split(event_points(spark, sf_dir), block=100_000).select("series_id", "ts_nanos", "value", F.col("run").cast("bigint").alias("run"))
+
+
 @query(f"WITH {DP} SELECT series_id, arg_max(ts_nanos, arrival) AS ts_nanos, arg_max(value, arrival) AS value FROM dp GROUP BY 1")
 def last_encoded(spark, sf_dir):
     return ingest.last_encoded(event_points(spark, sf_dir))
@@ -196,9 +217,12 @@ def compact_greedy(spark, sf_dir):
 
 
 @query(_COMPACT)
-def compact_greedy_grouped(spark, sf_dir):
+def compact_greedy_continued(spark, sf_dir):
+    """The same in two flushes: the later days go on from the last chunk that the earlier ones left."""
     runs = chunks.chunk_index(event_points(spark, sf_dir), "epoch")
-    return chunks.compact_grouped(runs, "epoch", target=TARGET).select("series_id", "epoch", "chunk_no")
+    one = chunks.compact(runs.where("epoch < date'2024-01-15'"), "epoch", target=TARGET)
+    two = chunks.compact(runs.where("epoch >= date'2024-01-15'"), "epoch", target=TARGET, last=chunks.last_chunks(one))
+    return one.unionByName(two).select("series_id", "epoch", "chunk_no")
 
 
 @query(f"WITH {DP} SELECT series_id, ts_nanos, value, (row_number() OVER (PARTITION BY series_id ORDER BY ts_nanos) - 1) // 32 AS part FROM dp")
@@ -325,20 +349,49 @@ def wire_roundtrip(spark, sf_dir):
     return wire.parse_writes(wire.write_requests(event_points(spark, sf_dir), order="seq")).select("series_id", "ts_nanos", "value")
 
 
-@query(_IDENTITY)
-def stream_ingest(spark, sf_dir):
-    """The events through the micro-batch persist loop."""
-    path = scratch(spark, "stream")
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream of points."""
     folder = sf_dir.rstrip("/")
     path_ = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
     whole = path_.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path_).isDirectory()
     reader = spark.readStream.schema(spark.read.parquet(f"{folder}/events.parquet").schema)
     events = reader.parquet(f"{folder}/events.parquet") if whole else reader.option("pathGlobFilter", "events.parquet").parquet(folder)
-    from strandline.sources.model import nanos
+    return events.select(F.col("user_id").cast("string").alias("series_id"), nanos(F.col("ts")).alias("ts_nanos"), "value", F.col("event_id").alias("arrival"))
+
+
+@query(_IDENTITY)
+def stream_ingest(spark, sf_dir):
+    """The events through the micro-batch persist loop into the raw engine's store."""
+    engine = Engine(spark, scratch(spark, "stream"), "raw")
+    streaming.persist_loop(_event_stream(spark, sf_dir), engine, scratch(spark, "checkpoint"), every=None).awaitTermination()
+    return engine.points().select("series_id", "ts_nanos", "value")
 
-    points = events.select(F.col("user_id").cast("string").alias("series_id"), nanos(F.col("ts")).alias("ts_nanos"), "value")
-    streaming.persist_loop(points, path, scratch(spark, "checkpoint"), every=None).awaitTermination()
-    return spark.read.parquet(path).select("series_id", "ts_nanos", "value")
+
+@query(_admit_sql("dp", "series_id", "seq", _OK))
+def admit_stream(spark, sf_dir):
+    """Stateful admission of the event stream in event order."""
+    path = scratch(spark, "admitted")
+    admitted = streaming.admit_stream(_event_stream(spark, sf_dir)).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "checkpoint"))
+    admitted.outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.parquet(path).where("status = 'OK'").select("series_id", "ts_nanos", "value")
+
+
+@query(f"WITH {HR} SELECT DISTINCT series_id, ts_nanos FROM hr")
+def late_filter(spark, sf_dir):
+    """Each time of a series once, of a stream in which none is later than the watermark allows."""
+    path, hour = scratch(spark, "late"), F.lit(3600 * NS).cast("bigint")
+    stream = _event_stream(spark, sf_dir).join(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(F.col("event_id").alias("arrival"), "event_type"), "arrival")
+    hourly = stream.select(F.col("event_type").alias("series_id"), (F.floor(F.col("ts_nanos") / hour).cast("bigint") * hour).alias("ts_nanos"))
+    once = streaming.late_filter(hourly, "400 days").writeStream.format("parquet").option("checkpointLocation", scratch(spark, "checkpoint"))
+    once.outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.parquet(path).select("series_id", "ts_nanos")
+
+
+@query(f"""WITH {DP}, a AS (SELECT *, max(ts_nanos) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT series_id, ts_nanos, value, arrival AS seq FROM dp)),
+f AS (SELECT min(seq) AS first FROM a WHERE ts_nanos <= before)
+SELECT series_id, ts_nanos, value, CASE WHEN seq > first THEN 'ABORTED' WHEN before IS NULL OR ts_nanos > before THEN 'OK' WHEN ts_nanos = before THEN 'DUPLICATE' ELSE 'OUT_OF_ORDER' END AS status FROM a, f""")
+def admit_abort_batch(spark, sf_dir):
+    return ingest.admit(event_points(spark, sf_dir), abort_batch=True).select("series_id", "ts_nanos", "value", "status")
 
 
 @query(f"WITH {HR} SELECT series_id, ts_nanos, arg_max(value, seq) AS value FROM hr GROUP BY 1, 2")
@@ -353,15 +406,88 @@ def engine_raw(spark, sf_dir):
     return engine.points().select("series_id", "ts_nanos", "value")
 
 
-@query(_admit_sql("dp", "series_id, epoch < DATE '2024-01-15'", "arrival", _OK))
-def engine_raw_block(spark, sf_dir):
-    """The raw-block engine: the flush starts fresh encoders, so each half of the days is admitted alone and both are read."""
+_HALVES = _admit_sql("dp", "series_id, epoch < DATE '2024-01-15'", "arrival", _OK)
+
+
+def _halves(spark, sf_dir, root: str) -> Engine:
+    """A raw-block engine with the first half of the days flushed and the second one logged."""
     dp = event_points(spark, sf_dir)
-    engine = Engine(spark, scratch(spark, "raw-block"), "raw-block")
+    engine = Engine(spark, root, "raw-block")
     engine.write_batch(dp.where("epoch < date'2024-01-15'"))
     engine.flush()
     engine.write_batch(dp.where("epoch >= date'2024-01-15'"))
-    return engine.points().select("series_id", "ts_nanos", "value")
+    return engine
+
+
+@query(_HALVES)
+def engine_raw_block(spark, sf_dir):
+    """The raw-block engine: the flush starts fresh encoders, so each half of the days is admitted alone and both are read."""
+    return _halves(spark, sf_dir, scratch(spark, "raw-block")).points().select("series_id", "ts_nanos", "value")
+
+
+@query(_HALVES)
+def engine_replay(spark, sf_dir):
+    """An engine opened anew on the folder finds the logged half beside the stored one, and flushes it."""
+    root = scratch(spark, "replay")
+    _halves(spark, sf_dir, root)
+    again = Engine(spark, root, "raw-block")
+    again.flush()
+    return again.points().select("series_id", "ts_nanos", "value")
+
+
+@query(f"WITH {HR}, s AS (SELECT *, seq % 2 AS half FROM hr) SELECT series_id, ts_nanos, arg_max(value, half * 10000000000 + seq) AS value FROM s GROUP BY 1, 2")
+def engine_restart(spark, sf_dir):
+    """Even events, a flush, then odd ones through an engine opened anew: later writes win though their own numbers start again."""
+    hr, root = hourly_points(spark, sf_dir).withColumnRenamed("seq", "arrival"), scratch(spark, "restart")
+    first = Engine(spark, root, "raw")
+    first.write_batch(hr.where("arrival % 2 = 0"))
+    first.close()
+    second = Engine(spark, root, "raw")
+    second.write_batch(hr.where("arrival % 2 = 1"))
+    return second.points().select("series_id", "ts_nanos", "value")
+
+
+@query(f"""WITH {DP}, s AS (SELECT *, CASE WHEN epoch < DATE '2024-01-10' THEN 0 WHEN epoch < DATE '2024-01-20' THEN 1 ELSE 2 END AS third FROM dp)
+SELECT series_id, ts_nanos, value, CAST(row_number() OVER (PARTITION BY series_id ORDER BY third, arrival) AS BIGINT) AS place FROM s""")
+def engine_direct_compress(spark, sf_dir):
+    """Two flushes of compressed streams, the second one from the states that the first one saved, and a third batch that is only
+    logged: every point in its order of arrival."""
+    dp = event_points(spark, sf_dir)
+    engine = Engine(spark, scratch(spark, "direct"), "direct-compress")
+    engine.write_batch(dp.where("epoch < date'2024-01-10'"))
+    engine.flush()
+    engine.write_batch(dp.where("epoch >= date'2024-01-10' and epoch < date'2024-01-20'"))
+    engine.flush()
+    engine.write_batch(dp.where("epoch >= date'2024-01-20'"))
+    return ingest.append(engine.points()).select("series_id", "ts_nanos", "value", "place")
+
+
+@query(_HALVES.replace(_OK, f"{_OK} AND series_id = '8'").replace("ts_nanos > before", "ts_nanos > before)").replace("WHERE before", "WHERE (before"))
+def engine_read(spark, sf_dir):
+    """One series out of the store, by the chunk index, and the log."""
+    return _halves(spark, sf_dir, scratch(spark, "read")).read("8").select("series_id", "ts_nanos", "value")
+
+
+@query(f"WITH {HR}, u AS (SELECT series_id, ts_nanos, arg_max(value, seq) AS value FROM hr GROUP BY 1, 2) SELECT * FROM u WHERE series_id = 'click' AND ts_nanos >= {FROM} AND ts_nanos < {TO}")
+def engine_read_range(spark, sf_dir):
+    engine = Engine(spark, scratch(spark, "range"), "raw")
+    engine.write_batch(hourly_points(spark, sf_dir).withColumnRenamed("seq", "arrival"))
+    engine.flush()
+    return engine.read_range("click", FROM, TO).select("series_id", "ts_nanos", "value")
+
+
+@query(f"""WITH {DP}, ids AS (SELECT unnest(['8', '46', '101', 'no-such']) AS series_id)
+SELECT i.series_id, CAST(count(d.ts_nanos) AS BIGINT) AS n_points, min(d.ts_nanos) AS first_ns, max(d.ts_nanos) AS last_ns FROM ids i LEFT JOIN dp d ON i.series_id = d.series_id GROUP BY 1""")
+def gateway_read(spark, sf_dir):
+    """Points written into an engine, and a read request answered as the gateway does."""
+    ids = ["8", "46", "101", "no-such"]
+    engine = Engine(spark, scratch(spark, "gateway"), "raw")
+    engine.write_batch(event_points(spark, sf_dir))
+    status, body = wire.serve(spark, engine, wire.PATHS["read"], json.dumps({"batch": [{"series_id": i} for i in ids]}))
+    rows = spark.createDataFrame([("".join(body),)], "value string").where(F.lit(status == 200))
+    entry_ = F.explode(F.from_json("value", "struct<batch:array<struct<series_id:string,datapoints:array<struct<timestamp_nanos:bigint,value:double>>>>>")["batch"])
+    times = F.transform("e.datapoints", lambda d: d["timestamp_nanos"])
+    return rows.select(entry_.alias("e")).select("e.series_id", F.size(times).cast("bigint").alias("n_points"), F.array_min(times).alias("first_ns"), F.array_max(times).alias("last_ns"))
 
 
 @query("SELECT CAST(50 AS BIGINT) AS workers, CAST(100000 AS BIGINT) AS points, CAST(1999 AS BIGINT) AS last_ns, CAST(1999 AS DOUBLE) AS last_value")

@@ -43,9 +43,13 @@ def shipped(query):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share (spark.checkpoint.dir); a local one is made only where none is set."""
+    """A new path in the folder all executors share (spark.checkpoint.dir). Where none is set, a local one is made if the master
+    is local; on a cluster that is an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex[:12]}"

@@ -13,16 +13,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from strandline.operators.ingest import DUPLICATE, OK, OUT_OF_ORDER
 
 
-def persist_loop(points: DataFrame, path: str, checkpoint: str, every: str | None = "100 milliseconds") -> StreamingQuery:
-    """Each micro-batch goes to its own directory batch=<id>, sorted by series and time. A batch that is run again after a failure
-    overwrites its directory, so every point is stored once; the checkpoint's commit log takes the place of log truncation.
-    every=None drains what is there and stops."""
+def persist_loop(points: DataFrame, engine, checkpoint: str, every: str | None = "100 milliseconds", name: str = "persist-loop") -> StreamingQuery:
+    """Each micro-batch is logged and flushed into the engine's store, whose log is truncated after that only. A batch that comes
+    again after a failure is known by its number, so every point is stored once. every=None drains what is there and stops."""
 
-    def flush(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.repartitionByRange("series_id", "ts_nanos").sortWithinPartitions("series_id", "ts_nanos")
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch_id}")
+    def persist(batch: DataFrame, batch_id: int) -> None:
+        if "arrival" not in batch.columns:
+            batch = batch.withColumn("arrival", F.monotonically_increasing_id() % (1 << 40))
+        engine.write_batch(batch, stream=name, batch=batch_id)
+        engine.flush()
 
-    writer = points.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    writer = points.writeStream.foreachBatch(persist).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -33,7 +34,10 @@ def admit_stream(points: DataFrame, order: str = "arrival") -> DataFrame:
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order)
+        held = [f for f in frames if len(f)]
+        if not held:
+            return
+        rows = pd.concat(held).sort_values(order)
         out = []
         for t in rows["ts_nanos"].tolist():
             if last is None or t > last:

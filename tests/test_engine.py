@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators import chunks, commitlog, ingest, merge, read, tags
 from strandline.plans.engine import Engine
 from strandline.sources import generator, model, wire
+from strandline.sources.log import CommitLog, LogError, QueueFull
 from strandline.sources.store import Store
 from strandline.streaming import ingest as streaming
 
@@ -56,6 +57,125 @@ def test_write_read_before_and_after_flush(spark, tmp_path, kind):
     e.flush()
     assert e.read("test-id").count() == len(got)
     assert [(r.series_id, len(r.datapoints)) for r in e.read_batch(["test-id", "x"]).orderBy("series_id").collect()] == [("test-id", len(got)), ("x", 0)]
+    again = Engine(spark, f"file://{tmp_path}/{kind}", kind)  # opened anew: the same points, in the same order
+    assert [(r.ts_nanos, r.value) for r in again.read("test-id").collect()] == got
+    assert times(again.read_range("test-id", 0, S)) == [t for t, _ in got if t < S]
+
+
+@pytest.mark.parametrize("kind", ["raw", "direct-compress", "raw-block"])
+def test_a_restart_loses_no_write(spark, tmp_path, kind):
+    root = f"file://{tmp_path}/{kind}"
+    e = Engine(spark, root, kind)
+    e.write("a", 1, 1.0)
+    e.write("a", 1, 2.0)
+    e.flush()
+    e = Engine(spark, root, kind)
+    e.write("a", 1, 99.0)  # not flushed
+    e = Engine(spark, root, kind)
+    want = {"raw": [99.0], "direct-compress": [1.0, 2.0, 99.0], "raw-block": [1.0, 99.0]}[kind]
+    assert [r.value for r in e.read("a").collect()] == want
+    if kind == "raw-block":  # admission too goes on where it was
+        assert e.write("a", 1, 5.0).first().status == "DUPLICATE" and e.write("a", 0, 5.0).first().status == "OUT_OF_ORDER"
+    e.flush()
+    e.flush()
+    assert [r.value for r in Engine(spark, root, kind).read("a").collect()] == want
+
+
+def test_half_written_batches_do_not_count(spark, tmp_path):
+    root = f"file://{tmp_path}/h"
+    e = Engine(spark, root, "raw")
+    e.write("a", 1, 1.0)
+    e.buffer().withColumn("status", F.lit("OK")).write.parquet(f"{root}/log/batches/lost")  # no commit names it
+    assert times(Engine(spark, root, "raw").read("a")) == [1]
+
+
+def test_many_unflushed_writes_keep_the_plan_small(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/m", "raw-block")
+    lines = []
+    for t in range(20):
+        e.write("a", t, float(t))
+        lines.append(len(e.points()._jdf.queryExecution().analyzed().toString().splitlines()))
+    assert lines[-1] <= lines[1] + 2 and times(e.read("a")) == list(range(20))
+    assert e.write("a", 19, 0.0).first().status == "DUPLICATE"
+
+
+def test_empty_and_rejected_batches(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e", "raw-block")
+    assert e.write_batch(points(spark, [])).count() == 0 and e.flush() == -1
+    got = e.write_batch(points(spark, [(None, 1, 1.0, 0), ("a", None, 1.0, 1), ("a", 1, None, 2)])).collect()
+    assert [r.status for r in got] == ["INVALID"] * 3
+    assert e.flush() == -1 and e.points().count() == 0
+    e.write("a", 1, 1.0)
+    assert e.flush() == 0 and times(e.read("a")) == [1]
+    e.close()
+    with pytest.raises(LogError):
+        e.write("a", 2, 1.0)
+    with pytest.raises(LogError):
+        e.close()
+
+
+def test_a_full_log_is_flushed_first(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/q", "raw", queue_bytes=40)
+    for t in range(4):
+        e.write("a", t, 0.0)
+    assert e.store.version() >= 0 and times(e.read("a")) == [0, 1, 2, 3]
+
+
+def test_parts_are_merged_and_chunks_go_on(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/p", "raw-block", block_ns=1000, target=64)
+    for k in range(9):
+        e.write_batch(points(spark, [("a", 10 * k + j, float(k), j) for j in range(2)] + [("b", 5000 + k, 0.0, 9)]))
+        e.flush()
+    assert len(e.store.manifest()["parts"]) < 9
+    assert times(e.read("a")) == [10 * k + j for k in range(9) for j in range(2)] and e.read("b").count() == 9
+    runs = e.store.runs().where("series_id = 'a'").collect()
+    assert sum(r.n_points for r in runs) == 18 and max(r.chunk_no for r in runs) >= 2  # 64 bytes hold two runs of two points
+    assert [(r.n_points, r.first_ns, r.last_ns) for r in e.store.index().where("series_id = 'a'").collect()] == [(18, 0, 81)]
+    raw = Engine(spark, f"file://{tmp_path}/r", "raw")
+    for k in range(5):
+        raw.write("a", 1, float(k))
+        raw.flush()
+    assert [r.value for r in raw.read("a").collect()] == [4.0] and raw.store.points().count() < 5
+
+
+def test_reads_open_only_the_blocks_of_the_index(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/i", "raw-block", block_ns=100)
+    e.write_batch(points(spark, [("a", 5, 0.0, 0), ("a", 905, 0.0, 1), *[("b", t, 0.0, t) for t in range(10, 1000, 50)]]))
+    e.flush()
+    files = lambda df: {f.split("block=")[1].split("/")[0] for f in df.inputFiles()}
+    assert files(e.store.points(ids=["a"])) == {"0", "9"} and files(e.store.points(0, 100, ["a"])) == {"0"}
+    assert e.store.points(ids=["none"]).count() == 0
+
+
+def test_log_states(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/l", model.WRITE, queue_bytes=100)
+    with pytest.raises(LogError):
+        log.append(points(spark, [("a", 1, 1.0, 0)]))
+    with pytest.raises(LogError):
+        log.close()
+    assert log.open() == -1
+    with pytest.raises(LogError):
+        log.open()
+    with pytest.raises(LogError, match="empty"):
+        log.append(points(spark, []))
+    assert log.append(points(spark, [("some-data", 1, 1.0, 0)])) == 0 and log.rotation_token() == 1
+    token = log.rotation_token()
+    assert log.append(points(spark, [("some-data", 2, 1.0, k) for k in range(9)])) == 1
+    with pytest.raises(QueueFull):
+        log.append(points(spark, [("a", 3, 1.0, 0)]))
+    log.truncate(None)
+    assert log.rows().count() == 10
+    log.truncate(token)
+    assert log.rows().count() == 9
+    again = CommitLog(spark, f"file://{tmp_path}/l", model.WRITE)
+    assert again.open() == 1
+    again.truncate(2)
+    done = []
+    again.close(lambda: done.append(1))
+    assert done == [1]
+    with pytest.raises(LogError):
+        again.append(points(spark, [("a", 1, 1.0, 0)]))
+    assert CommitLog(spark, f"file://{tmp_path}/l", model.WRITE).open() == -1
 
 
 def test_unknown_engine(spark):
@@ -66,7 +186,7 @@ def test_unknown_engine(spark):
 def test_raw_block_rejects_in_the_epoch(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/x", "raw-block")
     got = e.write_batch(points(spark, [("a", 1, 1.0, 0), ("a", 0, 0.0, 1), ("a", 1, 2.0, 2), ("b", 0, 0.0, 3), ("a", 2, 2.0, 4), (None, 1, 1.0, 5)])).orderBy("arrival").collect()
-    assert [r.status for r in got] == ["OK", "OUT_OF_ORDER", "DUPLICATE", "OK", "OK"]
+    assert [r.status for r in got] == ["OK", "OUT_OF_ORDER", "DUPLICATE", "OK", "OK", "INVALID"]
     assert e.write("a", 2, 5.0).first().status == "DUPLICATE"
     assert times(e.read("a")) == [1, 2]
 
@@ -112,8 +232,11 @@ def test_compaction_splits_again_and_skips_empty_runs(spark):
         if n:
             chunk, room = (chunk, room + n) if chunk >= 0 and room + n <= 100 else (chunk + 1, n)
             want[k] = chunk
-    for f in (chunks.compact, chunks.compact_grouped):
-        assert {r.run: r.chunk_no for r in f(df, "run", target=100).collect()} == want
+    assert {r.run: r.chunk_no for r in chunks.compact(df, "run", target=100).collect()} == want
+    for cut in (1, 3, 6):  # in two flushes
+        one = chunks.compact(df.where(F.col("run") < cut), "run", target=100)
+        two = chunks.compact(df.where(F.col("run") >= cut), "run", target=100, last=chunks.last_chunks(one))
+        assert {r.run: r.chunk_no for r in one.unionByName(two).collect()} == want
     assert max(want.values()) >= 2  # chunks after the first split have numbers of their own
 
 
@@ -154,11 +277,35 @@ def test_wire_schema(spark):
 def test_gateway(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/g", "raw")
     body = {"batch": [{"series_id": "a", "datapoint": {"timestamp_nanos": 5, "value": 1.5}}]}
-    assert wire.serve(spark, e, "/api/v1/writeBatch", json.dumps(body)) == (200, "{}")
-    status, answer = wire.serve(spark, e, "/api/v1/readBatch", json.dumps({"batch": [{"series_id": "a"}, {"series_id": "z"}]}))
+    serve = lambda path, body: (lambda s, pieces: (s, "".join(pieces)))(*wire.serve(spark, e, path, body))
+    assert serve("/api/v1/writeBatch", json.dumps(body)) == (200, "{}")
+    status, answer = serve("/api/v1/readBatch", json.dumps({"batch": [{"series_id": i} for i in ("b", "a", "z", "a")]}))
     assert status == 200
-    assert json.loads(answer) == {"batch": [{"series_id": "a", "datapoints": [{"timestamp_nanos": 5, "value": 1.5}]}, {"series_id": "z", "datapoints": []}]}
-    assert wire.serve(spark, e, "/other", "")[0] == 404
+    assert json.loads(answer) == {"batch": [{"series_id": "a", "datapoints": [{"timestamp_nanos": 5, "value": 1.5}]}, {"series_id": "b", "datapoints": []}, {"series_id": "z", "datapoints": []}]}
+    assert serve("/other", "")[0] == 404 and serve("/api/v1/readBatch", '{"batch":[]}') == (200, '{"batch":[]}')
+    for bad in ("not json", "[]", '{"batch":[{}]}', '{"batch":[{"series_id":"a","datapoint":{"timestamp_nanos":-1,"value":1}}]}', '{"batch":[{"series_id":"a","datapoint":{"timestamp_nanos":1,"value":"x"}}]}', '{"batch":3}'):
+        assert serve("/api/v1/writeBatch", bad)[0] == 400
+    assert serve("/api/v1/readBatch", '{"batch":[{"series_id":5}]}')[0] == 400
+
+
+def test_gateway_over_http_with_numbers_json_has_not(spark, tmp_path):
+    import urllib.error
+    import urllib.request
+
+    e = Engine(spark, f"file://{tmp_path}/h", "raw")
+    server = wire.listen(spark, e)
+    post = lambda path, body: urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode(), method="POST")).read().decode()
+    try:
+        values = ["NaN", "Infinity", "-Infinity", 2.5, -0.0]
+        batch = [{"series_id": "s", "datapoint": {"timestamp_nanos": str(k) if k % 2 else k, "value": v}} for k, v in enumerate(values)]
+        assert post("/api/v1/writeBatch", {"batch": batch}) == "{}"
+        got = json.loads(post("/api/v1/readBatch", {"batch": [{"series_id": "s"}]}))["batch"][0]["datapoints"]
+        assert [(p["timestamp_nanos"], p["value"]) for p in got] == list(enumerate(values))
+        with pytest.raises(urllib.error.HTTPError) as x:
+            post("/api/v1/writeBatch", {"batch": [1]})
+        assert x.value.code == 400
+    finally:
+        server.shutdown()
 
 
 def test_store_versions_and_pruning(spark, tmp_path):
@@ -175,6 +322,30 @@ def test_store_versions_and_pruning(spark, tmp_path):
     assert s.points().count() == 31
 
 
+def test_blocked_forms_of_one_hot_series(spark):
+    rng = random.Random(9)
+    rows = [("hot" if k % 7 else f"s{k}", rng.randrange(500), float(k), k * 3) for k in range(900)]
+    df = points(spark, rows)
+    plain = lambda d, c: {(r.series_id, r.arrival): r[c] for r in d.collect()}
+    for block in (10, 100, 5000):
+        assert plain(ingest.append(df, block=block), "place") == plain(ingest.append(df), "place")
+        assert plain(merge.run_split(df, block=block), "run") == plain(merge.run_split(df), "run")
+        assert plain(chunks.split_large(df, 9, "arrival", block=block), "part") == plain(chunks.split_large(df, 9, "arrival"), "part")
+        merged = df.withColumn("stream", F.col("arrival") % 5)
+        assert plain(merge.kway_merge(merged, block=block), "place") == plain(merge.kway_merge(merged), "place")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strandline import session
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        session.scratch(cluster, "x")
+
+
 def test_tags(spark):
     t = spark.createDataFrame([("k", "x", "1"), ("k", "y", "2"), ("j", "x", "1"), ("j", "z", "2"), ("j", "z", "3")], "tag_key string, tag_value string, series_id string")
     ids = lambda df: sorted(r.series_id for r in df.collect())
@@ -205,8 +376,12 @@ def test_stream_persist_and_admission(spark, tmp_path):
     src = f"{tmp_path}/in"
     points(spark, [("a", 1, 1.0, 0), ("a", 3, 1.0, 1), ("a", 2, 1.0, 2)]).coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(model.WRITE).parquet(src)
-    streaming.persist_loop(stream, f"{tmp_path}/out", f"{tmp_path}/cp", every=None).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    e = Engine(spark, f"file://{tmp_path}/out", "direct-compress")
+    streaming.persist_loop(stream, e, f"{tmp_path}/cp", every=None).awaitTermination()
+    assert times(Engine(spark, f"file://{tmp_path}/out", "direct-compress").read("a")) == [1, 3, 2]
+    again = Engine(spark, f"file://{tmp_path}/out", "direct-compress")
+    streaming.persist_loop(stream, again, f"{tmp_path}/other", every=None).awaitTermination()  # batch 0 of the loop comes again
+    assert again.read("a").count() == 3
     run = lambda: streaming.admit_stream(spark.readStream.schema(model.WRITE).parquet(src)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp2").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/admitted").awaitTermination()
     run()
     points(spark, [("a", 3, 1.0, 3), ("a", 4, 1.0, 4)]).coalesce(1).write.mode("append").parquet(src)
