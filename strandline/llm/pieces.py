@@ -34,7 +34,8 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 
 class PieceLattice:
-    """theta scales the piece scores: 0 samples segmentations uniformly, large values tend to the best one."""
+    """theta scales the piece scores: 0 samples segmentations uniformly, larger values lean to the best one. A theta with which
+    weights would leave the range of doubles (of this vocabulary above about 0.0013) is refused."""
 
     def __init__(self, model_file: str, theta: float = 1e-3, most_words: int = 300_000, most_states: int = 6_000_000) -> None:
         import sentencepiece
@@ -59,6 +60,8 @@ class PieceLattice:
                 lowest = min(lowest, score)
         self.byte_weight = float(np.exp(theta * (lowest - 1)))
         self.longest = max(map(len, self.weight))
+        if abs(theta) * (1 - lowest) * self.longest > 690:  # one long piece against as many short ones: see _compile_long
+            raise ValueError(f"theta {theta} takes weights out of the range of doubles")
         self.prefixes = {w[:k] for w in self.weight for k in range(1, len(w) + 1)}
         self._trie()
         self.most_words, self.most_states = most_words, most_states

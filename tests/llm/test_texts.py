@@ -222,6 +222,22 @@ def test_piece_samples_follow_the_lattice():
     assert (flat.sample([9, 2], ["other words first", word * 5])[1] == lattice.sample([2], [word * 5])[0]).all()
 
 
+def test_long_words_have_the_shares_of_short_ones():
+    """Words over pieces._LONG characters are compiled one by one; both ways give the same edges and shares."""
+    with pytest.raises(ValueError):
+        pieces.PieceLattice(pieces.piece_model(), theta=1.0)
+    lattice = pieces.PieceLattice(pieces.piece_model())
+    for word in ["x" * 200, "internationalisation" * 12, "naïveœuvre" * 9, "字" * 70 + "word" * 30, "q" * 65]:
+        got = []
+        for compiled in (lambda: lattice._compile([word]) or lattice.words[word], lambda: lattice._compile_long(word)):
+            lattice._reset()
+            last, n = compiled(), lattice.n_edges
+            got.append((last, lattice.first[: lattice.n_states].copy(), *(x[:n].copy() for x in lattice.flat)))
+        (last, first, share, *rest), (last_, first_, share_, *rest_) = got
+        assert last == last_ and (first == first_).all() and all((x == y).all() for x, y in zip(rest, rest_, strict=True))
+        assert np.allclose(share, share_, rtol=0, atol=1e-9)
+
+
 def held(mod, rest):
     return lambda i: zlib.crc32(str(i).encode()) % mod == rest
 
