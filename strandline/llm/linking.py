@@ -218,14 +218,21 @@ def bucket_links(rows: DataFrame, how: Sketch, limit: int = 64, split: Callable[
     return out
 
 
-def bucket_pairs(rows: DataFrame, near: Callable[[list[bytes]], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """Links (a, b) of rows (key, id, sketch) that share a key, every pair of a bucket compared by near(sketches); a spanning
-    forest of each linked set leaves a task. Buckets over BLOCK rows are compared in pairs of blocks."""
+def bucket_pairs(rows: DataFrame, near: Callable[[list[bytes]], Callable[[np.ndarray, np.ndarray], np.ndarray]], strip: int = 256) -> DataFrame:
+    """Links (a, b) of rows (key, id, sketch) that share a key, every pair of a bucket compared by near(sketches), which tells of
+    some positions against others, as a matrix, whether they link; a spanning forest of each linked set leaves a task. Buckets
+    over BLOCK rows are compared in pairs of blocks."""
     counts = cut(rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     sized = rows.join(counts, F.col("key") == F.col("k")).select("key", "id", "sketch", "n")
 
     def work(raw: list[bytes], salted: bool):
-        return linked_sets(len(raw), near(raw)), []
+        test, every, met = near(raw), np.arange(len(raw)), np.zeros(len(raw), bool)
+        for i in range(0, len(raw), strip):  # most rows of a bucket link with none: matrix products tell which do
+            hit = test(every[i : i + strip], every)
+            hit[np.arange(len(hit)), np.arange(i, i + len(hit))] = False
+            met[i : i + strip] = hit.any(1)
+        some = np.flatnonzero(met)
+        return [(some[a], some[b]) for a, b in linked_sets(len(some), lambda i, rest: test(some[i : i + 1], some[rest])[0])], []
 
     links = cut(_linked(in_blocks(sized), work), "links")
     out = cut(links.select("a", "b").distinct(), "edges")

@@ -8,9 +8,11 @@ in truth or nearly so and groups do not grow by chance; those groups are then ch
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +35,21 @@ def tables_needed(cosine: float, k: int, width: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions of the usable vectors, and their unit vectors in double precision."""
-    good, rows = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.asarray(v, np.float64)
-            norm = np.linalg.norm(x / np.abs(x).max()) * np.abs(x).max() if np.isfinite(x).all() and x.any() else 0.0
-            if norm > 0 and np.isfinite(norm):
-                good.append(i)
-                rows.append(x / norm)
-    return np.array(good, np.int64), rows
+def _unit(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of a column of vectors, the positions of its usable ones and their unit vectors in double precision."""
+    sizes = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN here
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == d)
+        x = flat[starts[at][:, None] + np.arange(d)]
+        fine = np.isfinite(x).all(1) & x.any(1)
+        at, x = at[fine], x[fine]
+        most = np.abs(x).max(1, initial=0)
+        with np.errstate(over="ignore"):
+            norm = np.sqrt(np.square(x / most[:, None]).sum(1)) * most
+        fine = (norm > 0) & np.isfinite(norm)
+        yield at[fine], x[fine] / norm[fine, None]
 
 
 def steps(x: np.ndarray, project: np.ndarray | None) -> np.ndarray:
@@ -81,42 +87,44 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         import xxhash
 
         drawn: dict[int, tuple] = {}
+        mix = np.random.default_rng(29).integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
-            good, rows = _unit(b.column(1))
-            key1, key2 = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            key1, key2, ok = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
             tables: list = [None] * b.num_rows
             short: list = [None] * b.num_rows
             units: list = [None] * b.num_rows
-            for d in sorted({len(r) for r in rows}):
-                own = [j for j, r in enumerate(rows) if len(r) == d]
+            for at, rows in _unit(b.column(1)):
+                d = rows.shape[1]
                 if d not in drawn:
                     rng = np.random.default_rng(d)
                     drawn[d] = rng.normal(size=(d, n_tables * k)), rng.uniform(0, width, n_tables * k), projection(d)
                 a, shift, project = drawn[d]
-                for i in range(0, len(own), 512):
-                    part = own[i : i + 512]
-                    x = np.stack([rows[j] for j in part])
-                    cells = np.floor((x @ a + shift) / width).astype(np.int16).reshape(len(part), n_tables, k)
+                ok[at] = True
+                for i in range(0, len(at), 512):
+                    x = rows[i : i + 512]
+                    cells = np.floor((x @ a + shift) / width).astype(np.int64).reshape(len(x), n_tables, k)
+                    with np.errstate(over="ignore"):  # the keys of buckets: a multilinear hash of the k cells
+                        keys = (cells.view(np.uint64) * mix).sum(2) + np.uint64(d)
                     stepped = steps(x, project)
-                    for r, j in enumerate(part):
-                        g = good[j]
-                        key1[g] = xxhash.xxh64_intdigest(x[r].tobytes(), 1) - 2**63
-                        key2[g] = xxhash.xxh64_intdigest(x[r].tobytes(), 2) - 2**63
-                        tables[g] = [xxhash.xxh64_intdigest(cells[r, t].tobytes(), t + 100_000 * d) - 2**63 for t in range(n_tables)]
-                        short[g], units[g] = d.to_bytes(4, "little") + stepped[r].tobytes(), x[r].tobytes()
-            ok = np.zeros(b.num_rows, bool)
-            ok[good] = True
+                    for r, g in enumerate(at[i : i + 512].tolist()):
+                        units[g] = x[r].tobytes()
+                        key1[g], key2[g] = xxhash.xxh64_intdigest(units[g], 1) - 2**63, xxhash.xxh64_intdigest(units[g], 2) - 2**63
+                        tables[g] = keys[r].view(np.int64)
+                        short[g] = d.to_bytes(4, "little") + stepped[r].tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key1, mask=~ok), pa.array(key2, mask=~ok), pa.array(tables, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(units, pa.binary())], ["id", "k1", "k2", "tables", "short", "unit"])
 
     def near(raw: list[bytes]):
-        """Which of a bucket's rows may link with one: those of its length whose stepped vectors reach the screened cosine."""
-        dims = np.array([int.from_bytes(r[:4], "little") for r in raw])
-        x = np.zeros((len(raw), max(len(r) for r in raw) - 4), np.float32)
-        for i, r in enumerate(raw):
-            x[i, : len(r) - 4] = np.frombuffer(r, np.int8, offset=4)
+        """Which of a bucket's rows may link: those of a length whose stepped vectors reach the screened cosine."""
+        size = max(map(len, raw))
+        every = np.frombuffer(b"".join(r.ljust(size, b"\0") for r in raw), np.int8).reshape(len(raw), -1)
+        dims = np.ascontiguousarray(every[:, :4]).view("<i4")[:, 0]
+        x = every[:, 4:].astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        least = np.array([screen(cosine, d) for d in dims]) - 1e-4
-        return lambda i, rest: (x[rest] @ x[i] >= least[i]) & (dims[rest] == dims[i])
+        of = {d: screen(cosine, d) - 1e-4 for d in set(dims.tolist())}
+        least = np.array([of[d] for d in dims.tolist()], np.float32)[:, None]
+        if len(of) == 1:
+            return lambda some, others: x[some] @ x[others].T >= least[some]
+        return lambda some, others: (x[some] @ x[others].T >= least[some]) & (dims[some][:, None] == dims[others])
 
     def links(left: list[bytes], right: list[bytes]):
         """Exact cosines of the left's rows with the right's; vectors of different lengths do not link."""
