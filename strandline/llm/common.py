@@ -59,10 +59,19 @@ def class_sample(df: DataFrame, class_col: str, keys: list[str], per_class: int)
     return kept, sorted(c[0] for c in counts), 2 * per_class * len(counts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of up to `rows` rows, and of up to most_bytes unless a row alone has more."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            yield from _halves(b.slice(i, rows), most_bytes)
+
+
+def _halves(b: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    if b.num_rows < 2 or b.nbytes <= most_bytes:
+        yield b
+    else:
+        yield from _halves(b.slice(0, b.num_rows // 2), most_bytes)
+        yield from _halves(b.slice(b.num_rows // 2), most_bytes)
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable], rows: int = 256) -> DataFrame:

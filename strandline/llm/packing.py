@@ -51,8 +51,8 @@ class Encoder:
     """Token ids of whole texts. The vocabulary's pre-tokenizer drops white space and its normaliser works within a word, so a
     text's ids are those of its words, kept for a bounded number of words; it also cuts letters from signs, so the ids of letters
     and the signs that end them are kept apart. Below U+0300 lower-casing commutes with the normaliser, and words are kept in
-    lower case; control characters that only Python counts as white space take the plain way. With specials so do texts that hold
-a special token, by the tokenizer as loaded; else special tokens written in a text are read as its characters."""
+    lower case; control characters that only Python counts as white space take the plain way. With specials so do texts that
+    hold a special token, by the tokenizer as loaded; else special tokens written in a text are read as its characters."""
 
     def __init__(self, path: str, specials: bool = False) -> None:
         from tokenizers import Tokenizer

@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from strandline.llm import audio, language, licenses, pieces, quality, toxicity
-from strandline.llm.common import table
+from strandline.llm.common import slices, table
 
 from .conftest import EDGE, SF
 
@@ -269,6 +270,23 @@ def test_toxicity_folding_and_exceptions():
     assert match("you scum" + " " * 5000)[1] == match("you   \n\t scum!")[1] == 2 and match("")[1] == 0  # words, not separators
 
 
+def test_spans_that_excuse_are_found_as_by_comparing_all():
+    rng = random.Random(4)
+    for _ in range(200):
+        span = lambda: (b := rng.randrange(40), b + rng.randrange(1, 9))
+        found, spans = [(*span(), 1.0) for _ in range(rng.randrange(12))], [span() for _ in range(rng.randrange(12))]
+        assert toxicity.outside(found, spans) == [x for x in found if not any(b <= x[0] and x[1] <= e for b, e in spans)]
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    texts = ["a" * n for n in (5, 900, 900, 0, 3000, 1, 1, 1, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    parts = list(slices([batch, batch.slice(0, 0)], 4, 1000))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or p.nbytes <= 1000) for p in parts)
+    assert [p.num_rows for p in slices([batch], 4)] == [4, 4, 2]
+
+
 def test_toxicity_learns_short_words_and_matches_plainly(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 8)))
