@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,24 @@ def read_batch(spark, sf_dir):
     return read.read_batch(event_points(spark, sf_dir), ["8", "46", "101", "no-such"]).select("series_id", "ts_nanos", "value")
 
 
+@query("""SELECT series_id, CAST(ts_nanos AS BIGINT) AS ts_nanos, CAST(value AS DOUBLE) AS value, status
+FROM (VALUES ('a', 20, 1.5, 'OK'), ('a', 10, 2.5, 'OUT_OF_ORDER'), ('a', 20, 3.5, 'DUPLICATE'), ('b', 10, NULL, 'INVALID'), ('b', 10, 4.5, 'OK')) t(series_id, ts_nanos, value, status)""")
+def engine_write(spark, sf_dir):
+    """Single writes, one after the other, each with the answer it gets."""
+    engine = Engine(spark, scratch(spark, "write"), "raw-block")
+    answers = [engine.write(*w) for w in [("a", 20, 1.5), ("a", 10, 2.5), ("a", 20, 3.5), ("b", 10, None), ("b", 10, 4.5)]]
+    return functools.reduce(DataFrame.unionByName, answers).select("series_id", "ts_nanos", "value", "status")
+
+
+@query(f"WITH {DP} SELECT series_id, ts_nanos, arg_max(value, seq) AS value FROM dp WHERE series_id = '46' GROUP BY 1, 2")
+def gateway_write(spark, sf_dir):
+    """A series posted as the gateway takes it, in one write request, and what the engine then holds."""
+    engine = Engine(spark, scratch(spark, "gateway"), "raw")
+    for r in wire.write_requests(event_points(spark, sf_dir).where("series_id = '46'"), 1 << 40, "seq").toLocalIterator():
+        wire.serve(spark, engine, wire.PATHS["write"], r["value"])
+    return engine.points().select("series_id", "ts_nanos", "value")
+
+
 @query(f"""WITH {DP}, ids AS (SELECT unnest(['8', '46', '101', 'no-such']) AS series_id)
 SELECT i.series_id, CAST(count(d.ts_nanos) AS BIGINT) AS n_points, min(d.ts_nanos) AS first_ns, max(d.ts_nanos) AS last_ns FROM ids i LEFT JOIN dp d ON i.series_id = d.series_id GROUP BY 1""")
 def read_responses(spark, sf_dir):

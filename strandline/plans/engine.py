@@ -46,7 +46,7 @@ class Engine:
             if e.get("stream"):
                 self.done[e["stream"]] = max(self.done.get(e["stream"], -1), e["batch"])
 
-    def write(self, series_id: str, ts_nanos: int, value: float) -> DataFrame:
+    def write(self, series_id: str | None, ts_nanos: int | None, value: float | None) -> DataFrame:
         return self.write_batch(self.spark.createDataFrame([(series_id, ts_nanos, value, 0)], WRITE))
 
     def write_batch(self, points: DataFrame, stream: str | None = None, batch: int = 0) -> DataFrame:
