@@ -25,16 +25,18 @@ def merge_streams(streams: DataFrame) -> DataFrame:
 def run_split(points: DataFrame, order: str = "arrival", block: int | None = None) -> DataFrame:
     """Adds run: the number of earlier points of the series that did not pass their predecessor, so each run is sorted.
 
-    With `block`, a series is cut into stretches of that many order values: their breaks are summed and scanned first, and the
-    first point of a stretch is held against the last one before it, so a hot series spreads over tasks."""
+    Points of equal order stand by time, then value. With `block`, a series is cut into stretches of that many order values: their
+    breaks are summed and scanned first, and the first point of a stretch is held against the last one before it, so a hot series
+    spreads over tasks."""
     keys = ["series_id"] if block is None else ["series_id", "__part"]
     rows = points if block is None else points.withColumn("__part", F.floor(F.col(order) / block))
-    by = Window.partitionBy(*keys).orderBy(order)
+    by = Window.partitionBy(*keys).orderBy(order, "ts_nanos", "value")
     broke = F.coalesce((F.col("ts_nanos") <= F.lag("ts_nanos").over(by)).cast("bigint"), F.lit(0).cast("bigint"))
     rows = rows.withColumn("__broke", broke).withColumn("run", F.sum("__broke").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__broke")
     if block is None:
         return rows
-    parts = rows.groupBy(*keys).agg(F.min_by("ts_nanos", order).alias("__first"), F.max_by("ts_nanos", order).alias("__last"), F.max("run").alias("__breaks"))
+    edge = F.struct(F.col(order).alias("o"), F.col("ts_nanos").alias("t"))  # of equal order the same point as in the window
+    parts = rows.groupBy(*keys).agg(F.min(edge)["t"].alias("__first"), F.max(edge)["t"].alias("__last"), F.max("run").alias("__breaks"))
     over = Window.partitionBy("series_id").orderBy("__part")
     parts = parts.withColumn("__cross", F.coalesce((F.col("__first") <= F.lag("__last").over(over)).cast("bigint"), F.lit(0).cast("bigint")))
     before = F.coalesce(F.sum(F.col("__breaks") + F.col("__cross")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))

@@ -224,6 +224,16 @@ def test_runs_are_sorted(spark):
     assert list(runs.values()) == [[3, 4], [4], [1, 2, 9], [5]]
 
 
+#: Points of equal arrival; in order of arrival, then time, then value.
+TIED = [("a", 5, 0.5, 9), ("a", 5, 1.0, 9), ("a", 9, 0.0, 9), ("a", 6, 2.0, 10), ("a", 7, 2.0, 19), ("a", 8, 2.0, 19), ("a", 8, 3.0, 20)]
+
+
+def test_tied_arrivals_in_blocked_runs(spark):
+    for rows in (TIED, TIED[::-1]):
+        got = merge.run_split(points(spark, rows).coalesce(1), block=10).collect()
+        assert sorted((r.arrival, r.ts_nanos, r.value, r.run) for r in got) == [(a, t, v, run) for (_, t, v, a), run in zip(TIED, [0, 1, 1, 2, 2, 2, 3], strict=True)]
+
+
 def test_compaction_splits_again_and_skips_empty_runs(spark):
     sizes = [30, 60, 20, 0, 90, 5, 200, 1]
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate(sizes)], "series_id string, run bigint, size_bytes bigint")
