@@ -234,6 +234,12 @@ def test_tied_arrivals_in_blocked_runs(spark):
         assert sorted((r.arrival, r.ts_nanos, r.value, r.run) for r in got) == [(a, t, v, run) for (_, t, v, a), run in zip(TIED, [0, 1, 1, 2, 2, 2, 3], strict=True)]
 
 
+def test_tied_arrivals_in_runs(spark):
+    for rows in (TIED, TIED[::-1]):
+        got = merge.run_split(points(spark, rows).coalesce(1)).collect()
+        assert sorted((r.arrival, r.ts_nanos, r.value, r.run) for r in got) == [(a, t, v, run) for (_, t, v, a), run in zip(TIED, [0, 1, 1, 2, 2, 2, 3], strict=True)]
+
+
 def test_compaction_splits_again_and_skips_empty_runs(spark):
     sizes = [30, 60, 20, 0, 90, 5, 200, 1]
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate(sizes)], "series_id string, run bigint, size_bytes bigint")
