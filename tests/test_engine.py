@@ -240,6 +240,12 @@ def test_tied_arrivals_in_runs(spark):
         assert sorted((r.arrival, r.ts_nanos, r.value, r.run) for r in got) == [(a, t, v, run) for (_, t, v, a), run in zip(TIED, [0, 1, 1, 2, 2, 2, 3], strict=True)]
 
 
+def test_tied_arrivals_in_blocked_places(spark):
+    for rows in (TIED, TIED[::-1]):
+        got = ingest.append(points(spark, rows).coalesce(1), block=10).orderBy("place").collect()
+        assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k + 1) for k, p in enumerate(TIED)]
+
+
 def test_compaction_splits_again_and_skips_empty_runs(spark):
     sizes = [30, 60, 20, 0, 90, 5, 200, 1]
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate(sizes)], "series_id string, run bigint, size_bytes bigint")
