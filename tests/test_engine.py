@@ -246,6 +246,12 @@ def test_tied_arrivals_in_blocked_places(spark):
         assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k + 1) for k, p in enumerate(TIED)]
 
 
+def test_tied_arrivals_in_places(spark):
+    for rows in (TIED, TIED[::-1]):
+        got = ingest.append(points(spark, rows).coalesce(1)).orderBy("place").collect()
+        assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k + 1) for k, p in enumerate(TIED)]
+
+
 def test_compaction_splits_again_and_skips_empty_runs(spark):
     sizes = [30, 60, 20, 0, 90, 5, 200, 1]
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate(sizes)], "series_id string, run bigint, size_bytes bigint")
