@@ -268,7 +268,8 @@ PART_POINTS = 1 << 20
 
 
 def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | None = None, most_points: int = PART_POINTS, block: int | None = None) -> DataFrame:
-    """(series_id[, chunk], part, data, n_points, state): one stream per series and chunk, points in `order`.
+    """(series_id[, chunk], part, data, n_points, state): one stream per series and chunk, points in `order`,
+    those of equal order by time, then value.
 
     A stream longer than most_points goes on in further parts, each a stream of its own, so no task holds a whole series. With
     `block`, parts are also cut at multiples of that many values of the first order column, and are dealt to tasks one by one, so
@@ -278,7 +279,7 @@ def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | N
     first = F.floor(F.col(order[0]) / block).cast("bigint") if block else F.lit(0).cast("bigint")
     rows = points.select(*keys, (first * F.lit(1 << 20)).alias("__part"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], "ts_nanos", "value")
     by = [*keys, "__part"]
-    picked = rows.repartition(*by).sortWithinPartitions(*by, *[f"__o{k}" for k in range(len(order))]).select(*by, "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
+    picked = rows.repartition(*by).sortWithinPartitions(*by, *[f"__o{k}" for k in range(len(order))], "ts_nanos", "value").select(*by, "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
     return _encoded(picked, keys, most_points, fresh=True).drop("before")
 
 
@@ -288,7 +289,7 @@ def encode_from(points: DataFrame, states: DataFrame, order: str = "arrival", mo
     bits that the one before it left over, and parts count on."""
     new = points.select("series_id", F.lit(0).cast("bigint").alias("__part"), F.col(order).alias("__o"), "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
     held = states.select("series_id", (F.col("part") + 1).alias("__part"), F.lit(None).cast(points.schema[order].dataType).alias("__o"), F.lit(None).cast("bigint").alias("ts_nanos"), F.lit(None).cast("double").alias("value"), "state")
-    rows = new.unionByName(held).repartition("series_id").sortWithinPartitions("series_id", F.col("state").asc_nulls_last(), "__o")
+    rows = new.unionByName(held).repartition("series_id").sortWithinPartitions("series_id", F.col("state").asc_nulls_last(), "__o", "ts_nanos", "value")
     return _encoded(rows.select("series_id", "__part", "ts_nanos", "value", "state"), ["series_id"], most_points, fresh=False)
 
 

@@ -104,6 +104,15 @@ def test_resumed_streams_keep_every_part(spark):
     assert [(r.series_id, r.ts_nanos) for r in hot] == [r[:2] for r in rows]
 
 
+def test_tied_arrivals_are_encoded_by_time_and_value(spark):
+    want = [("a", 5, 0.5, 0), ("a", 5, 1.0, 0), ("a", 9, 0.0, 0), ("a", 3, 0.0, 1), ("a", 1, 9.0, 6), ("a", 2, 8.0, 6), ("a", 2, 8.5, 6)]
+    for rows in (want, want[::-1]):
+        df = spark.createDataFrame(rows, "series_id string, ts_nanos bigint, value double, arrival bigint").coalesce(1)
+        for made in (codec.encode(df), codec.encode_resumed(df.where("arrival < 5"), df.where("arrival >= 5"), most_points=2)):
+            got = codec.decode(made).orderBy("place").collect()
+            assert [(r.series_id, r.ts_nanos, r.value) for r in got] == [r[:3] for r in want]
+
+
 def test_dataframe_codec(spark):
     rows = [("a", 3, -1.0, 0), ("a", 2, float("nan"), 1), ("a", 1, -0.0, 2), ("b", 2**62, 5e-324, 0)]
     df = spark.createDataFrame(rows, "series_id string, ts_nanos bigint, value double, arrival bigint")
