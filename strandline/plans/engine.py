@@ -115,9 +115,9 @@ class Engine:
         return upserted(every) if self.engine == "raw" else every
 
     def read(self, series_id: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
-        """The series in time order (direct-compress: in arrival order); no rows if it is unknown."""
+        """The series in time order (direct-compress: in arrival order, equal arrivals by time, then value); no rows if it is unknown."""
         rows = self.points(start_ns, end_ns, [series_id])
-        return rows.orderBy("arrival") if self.engine == "direct-compress" else rows.orderBy("ts_nanos", "arrival")
+        return rows.orderBy("arrival", "ts_nanos", "value") if self.engine == "direct-compress" else rows.orderBy("ts_nanos", "arrival")
 
     def read_batch(self, ids: list[str]) -> DataFrame:
         """One row per wanted id with its datapoints in time order."""

@@ -252,6 +252,18 @@ def test_tied_arrivals_in_places(spark):
         assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k + 1) for k, p in enumerate(TIED)]
 
 
+def test_tied_arrivals_keep_their_order_through_a_flush(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/tied", "direct-compress")
+    for k, rows in enumerate((TIED, TIED[::-1], TIED[::-1])):
+        e.write_batch(points(spark, rows).coalesce(1))
+        for flushed in (False, True):
+            want = [(t, v) for _, t, v, _ in TIED] * (k + 1)
+            assert [(r.ts_nanos, r.value) for r in e.read("a").collect()] == want
+            assert [(r.ts_nanos, r.value) for r in ingest.append(e.points()).orderBy("place").collect()] == want
+            if not flushed:
+                e.flush()
+
+
 def test_compaction_splits_again_and_skips_empty_runs(spark):
     sizes = [30, 60, 20, 0, 90, 5, 200, 1]
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate(sizes)], "series_id string, run bigint, size_bytes bigint")
