@@ -252,6 +252,13 @@ def test_tied_arrivals_in_places(spark):
         assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k + 1) for k, p in enumerate(TIED)]
 
 
+def test_null_arrivals_have_the_last_places(spark):
+    rows = [("a", 5, 0.5, 9), ("a", 7, 1.0, 20), ("a", 6, 2.0, None), ("a", None, 2.0, None), ("b", 1, 0.0, None)]
+    for given in (rows, rows[::-1]):
+        got = ingest.append(points(spark, given).coalesce(1)).orderBy("series_id", "place").collect()
+        assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k) for p, k in zip(rows, [1, 2, 3, 4, 1], strict=True)]
+
+
 def test_tied_arrivals_keep_their_order_through_a_flush(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/tied", "direct-compress")
     for k, rows in enumerate((TIED, TIED[::-1], TIED[::-1])):
