@@ -240,6 +240,20 @@ def test_tied_arrivals_in_runs(spark):
         assert sorted((r.arrival, r.ts_nanos, r.value, r.run) for r in got) == [(a, t, v, run) for (_, t, v, a), run in zip(TIED, [0, 1, 1, 2, 2, 2, 3], strict=True)]
 
 
+def test_null_arrivals_are_in_the_last_run(spark):
+    rows = [("a", 5, 0.5, 9), ("a", 9, 1.0, 20), ("a", 3, 2.0, 21), ("a", 7, 2.0, None), ("a", 8, 2.0, None)]
+    for given in (rows, rows[::-1]):
+        got = merge.run_split(points(spark, given).coalesce(1)).orderBy("ts_nanos").collect()
+        assert [(r.ts_nanos, r.run) for r in got] == [(3, 1), (5, 0), (7, 1), (8, 1), (9, 0)]
+
+
+def test_null_times_of_tied_arrivals_in_runs(spark):
+    rows = [("a", 5, 0.5, 9), ("a", None, 1.0, 9), ("a", 4, 2.0, 10), ("a", 3, 2.0, 19), ("a", None, 2.0, 19), ("a", 2, 2.0, 20)]
+    for block in (None, 10):
+        got = merge.run_split(points(spark, rows[::-1]).coalesce(1), block=block).collect()
+        assert sorted((r.arrival, r.ts_nanos or 99, r.run) for r in got) == [(9, 5, 0), (9, 99, 0), (10, 4, 0), (19, 3, 1), (19, 99, 1), (20, 2, 1)]
+
+
 def test_tied_arrivals_in_blocked_places(spark):
     for rows in (TIED, TIED[::-1]):
         got = ingest.append(points(spark, rows).coalesce(1), block=10).orderBy("place").collect()
