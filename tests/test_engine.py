@@ -273,6 +273,15 @@ def test_null_arrivals_have_the_last_places(spark):
         assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k) for p, k in zip(rows, [1, 2, 3, 4, 1], strict=True)]
 
 
+def test_null_arrivals_and_series_have_places_in_blocks(spark):
+    rows = [("a", 5, 0.5, 9), ("a", 7, 1.0, 20), ("a", 6, 2.0, None), ("a", None, 2.0, None), ("b", 1, 0.0, None), (None, 3, 1.0, 8), (None, 2, 1.0, 30), (None, 2, 1.0, None)]
+    for given in (rows, rows[::-1]):
+        got = ingest.append(points(spark, given).coalesce(1), block=10).orderBy(F.asc_nulls_last("series_id"), "place").collect()
+        assert [(r.series_id, r.ts_nanos, r.value, r.arrival, r.place) for r in got] == [(*p, k) for p, k in zip(rows, [1, 2, 3, 4, 1, 1, 2, 3], strict=True)]
+    untimed = points(spark, [("a", None, 1.0, 0), ("a", 25, 2.0, 1), ("a", 3, 3.0, 2)]).withColumn("stream", F.lit("s"))
+    assert [(r.ts_nanos, r.place) for r in merge.kway_merge(untimed, block=10).orderBy("place").collect()] == [(3, 1), (25, 2), (None, 3)]
+
+
 def test_tied_arrivals_keep_their_order_through_a_flush(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/tied", "direct-compress")
     for k, rows in enumerate((TIED, TIED[::-1], TIED[::-1])):
