@@ -28,17 +28,18 @@ def run_split(points: DataFrame, order: str = "arrival", block: int | None = Non
     Points of equal order stand by time, then value, those of no order last. With `block`, a series is cut into stretches of that
     many order values: their breaks are summed and scanned first, and the first point of a stretch is held against the last one
     before it, so a hot series spreads over tasks."""
-    keys = ["series_id"] if block is None else ["series_id", "__part"]
-    rows = points if block is None else points.withColumn("__part", F.floor(F.col(order) / block))
-    by = Window.partitionBy(*keys).orderBy(*map(F.asc_nulls_last, (order, "ts_nanos", "value")))
+    # __part is one struct, as joins leave out null columns but not structs that hold some
+    key = "series_id" if block is None else "__part"
+    rows = points if block is None else points.withColumn("__part", F.struct("series_id", F.floor(F.col(order) / block).alias("no")))
+    by = Window.partitionBy(key).orderBy(*map(F.asc_nulls_last, (order, "ts_nanos", "value")))
     broke = F.coalesce((F.col("ts_nanos") <= F.lag("ts_nanos").over(by)).cast("bigint"), F.lit(0).cast("bigint"))
     rows = rows.withColumn("__broke", broke).withColumn("run", F.sum("__broke").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__broke")
     if block is None:
         return rows
     edge = F.struct(F.col(order).alias("o"), F.isnull("ts_nanos"), F.col("ts_nanos").alias("t"))  # of equal order the same point as in the window
-    parts = rows.groupBy(*keys).agg(F.min(edge)["t"].alias("__first"), F.max(edge)["t"].alias("__last"), F.max("run").alias("__breaks"))
-    over = Window.partitionBy("series_id").orderBy("__part")
+    parts = rows.groupBy(key).agg(F.min(edge)["t"].alias("__first"), F.max(edge)["t"].alias("__last"), F.max("run").alias("__breaks"))
+    over = Window.partitionBy("__part.series_id").orderBy(F.asc_nulls_last("__part.no"))
     parts = parts.withColumn("__cross", F.coalesce((F.col("__first") <= F.lag("__last").over(over)).cast("bigint"), F.lit(0).cast("bigint")))
     before = F.coalesce(F.sum(F.col("__breaks") + F.col("__cross")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-    parts = parts.select(*keys, (before + F.col("__cross")).alias("__before"))
-    return rows.join(parts, keys).withColumn("run", F.col("run") + F.col("__before")).drop("__part", "__before")
+    parts = parts.select(key, (before + F.col("__cross")).alias("__before"))
+    return rows.join(parts, key).withColumn("run", F.col("run") + F.col("__before")).drop("__part", "__before")

@@ -247,6 +247,13 @@ def test_null_arrivals_are_in_the_last_run(spark):
         assert [(r.ts_nanos, r.run) for r in got] == [(3, 1), (5, 0), (7, 1), (8, 1), (9, 0)]
 
 
+def test_null_arrivals_and_series_are_in_runs_by_blocks(spark):
+    rows = [("a", 5, 0.5, 9), ("a", 9, 1.0, 20), ("a", 3, 2.0, 21), ("a", 2, 2.0, None), ("a", 8, 2.0, None), (None, 4, 1.0, 8), (None, 3, 1.0, 30), (None, 3, 1.0, None)]
+    for given in (rows, rows[::-1]):
+        got = merge.run_split(points(spark, given).coalesce(1), block=10).collect()
+        assert sorted((r.series_id or "-", r.arrival or 99, r.ts_nanos, r.run) for r in got) == [("-", 8, 4, 0), ("-", 30, 3, 1), ("-", 99, 3, 2), ("a", 9, 5, 0), ("a", 20, 9, 0), ("a", 21, 3, 1), ("a", 99, 2, 2), ("a", 99, 8, 2)]
+
+
 def test_null_times_of_tied_arrivals_in_runs(spark):
     rows = [("a", 5, 0.5, 9), ("a", None, 1.0, 9), ("a", 4, 2.0, 10), ("a", 3, 2.0, 19), ("a", None, 2.0, 19), ("a", 2, 2.0, 20)]
     for block in (None, 10):
