@@ -268,8 +268,8 @@ PART_POINTS = 1 << 20
 
 
 def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | None = None, most_points: int = PART_POINTS, block: int | None = None) -> DataFrame:
-    """(series_id[, chunk], part, data, n_points, state): one stream per series and chunk, points in `order`,
-    those of equal order by time, then value.
+    """(series_id[, chunk], part, data, n_points, nulls, state): one stream per series and chunk, points in `order`,
+    those of equal order by time, then value, those of no order last.
 
     A stream longer than most_points goes on in further parts, each a stream of its own, so no task holds a whole series. With
     `block`, parts are also cut at multiples of that many values of the first order column, and are dealt to tasks one by one, so
@@ -279,34 +279,37 @@ def encode(points: DataFrame, order: list[str] | str = "arrival", chunk: str | N
     first = F.floor(F.col(order[0]) / block).cast("bigint") if block else F.lit(0).cast("bigint")
     rows = points.select(*keys, (first * F.lit(1 << 20)).alias("__part"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], "ts_nanos", "value")
     by = [*keys, "__part"]
-    picked = rows.repartition(*by).sortWithinPartitions(*by, *[f"__o{k}" for k in range(len(order))], "ts_nanos", "value").select(*by, "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
+    picked = rows.repartition(*by).sortWithinPartitions(*by, *map(F.asc_nulls_last, [*(f"__o{k}" for k in range(len(order))), "ts_nanos", "value"])).select(*by, "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
     return _encoded(picked, keys, most_points, fresh=True).drop("before")
 
 
 def encode_from(points: DataFrame, states: DataFrame, order: str = "arrival", most_points: int = PART_POINTS) -> DataFrame:
-    """(series_id, part, data, n_points, before, state): segments that continue the series' streams from saved states alone
+    """(series_id, part, data, n_points, nulls, before, state): segments that continue the series' streams from saved states alone
     (series_id, part, state; series without one begin). `before` is the state a segment is decoded from, its first byte holds the
     bits that the one before it left over, and parts count on."""
     new = points.select("series_id", F.lit(0).cast("bigint").alias("__part"), F.col(order).alias("__o"), "ts_nanos", "value", F.lit(None).cast("string").alias("state"))
     held = states.select("series_id", (F.col("part") + 1).alias("__part"), F.lit(None).cast(points.schema[order].dataType).alias("__o"), F.lit(None).cast("bigint").alias("ts_nanos"), F.lit(None).cast("double").alias("value"), "state")
-    rows = new.unionByName(held).repartition("series_id").sortWithinPartitions("series_id", F.col("state").asc_nulls_last(), "__o", "ts_nanos", "value")
+    rows = new.unionByName(held).repartition("series_id").sortWithinPartitions("series_id", *map(F.asc_nulls_last, ("state", "__o", "ts_nanos", "value")))
     return _encoded(rows.select("series_id", "__part", "ts_nanos", "value", "state"), ["series_id"], most_points, fresh=False)
 
 
 def _encoded(rows: DataFrame, keys: list[str], most_points: int, fresh: bool) -> DataFrame:
     """Encodes rows (keys, __part, ts_nanos, value, state) sorted by keys: a row with a state comes first of its series and is no
-    point. fresh: each part is a stream of its own; else a part goes on from the one before."""
+    point. fresh: each part is a stream of its own; else a part goes on from the one before.
+
+    A null time or value is 0 in the stream; nulls has a bit for each null time, then for each null value (null: there are none)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     k_ = len(keys)
-    names = [*keys, "part", "data", "n_points", "before", "state"]
-    kinds = [*(to_arrow_type(rows.schema[k].dataType) for k in keys), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    names = [*keys, "part", "data", "n_points", "nulls", "before", "state"]
+    kinds = [*(to_arrow_type(rows.schema[k].dataType) for k in keys), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.string()]
     types = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
         ts: list[np.ndarray] = []
         values: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
         key, part, encoder, held = None, 0, Encoder(), 0
 
         def emit() -> None:
@@ -315,10 +318,12 @@ def _encoded(rows: DataFrame, keys: list[str], most_points: int, fresh: bool) ->
                 return
             before = encoder.state()
             data = encoder.encode(np.concatenate(ts), np.concatenate(values))
-            for c, x in zip(out, [*key, part, data, held, before, encoder.state()], strict=True):
+            null = np.concatenate(nulls, axis=1)
+            for c, x in zip(out, [*key, part, data, held, np.packbits(null).tobytes() if null.any() else None, before, encoder.state()], strict=True):
                 c.append(x)
             ts.clear()
             values.clear()
+            nulls.clear()
             part, held = part + 1, 0
             if fresh:
                 encoder = Encoder()
@@ -339,6 +344,7 @@ def _encoded(rows: DataFrame, keys: list[str], most_points: int, fresh: bool) ->
                 change[1:] |= codes[1:] != codes[:-1]
             state = b.column(k_ + 3)
             times, numbers = b.column(k_ + 1).fill_null(0).to_numpy(), b.column(k_ + 2).fill_null(0).to_numpy()
+            gone = np.stack([b.column(c).is_null().to_numpy(zero_copy_only=False) for c in (k_ + 1, k_ + 2)])
             starts = [0, *np.flatnonzero(change).tolist()]
             for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
                 own = [c[i].as_py() for c in b.columns[:same]]
@@ -352,6 +358,7 @@ def _encoded(rows: DataFrame, keys: list[str], most_points: int, fresh: bool) ->
                     n = min(j - i, most_points - held)
                     ts.append(times[i : i + n])
                     values.append(numbers[i : i + n])
+                    nulls.append(gone[:, i : i + n])
                     held += n
                     i += n
                     if held >= most_points:
@@ -362,12 +369,13 @@ def _encoded(rows: DataFrame, keys: list[str], most_points: int, fresh: bool) ->
         if out[0]:
             yield made()
 
-    return rows.mapInArrow(run, ", ".join([*types, "part bigint", "data binary", "n_points bigint", "before string", "state string"]))
+    return rows.mapInArrow(run, ", ".join([*types, "part bigint", "data binary", "n_points bigint", "nulls binary", "before string", "state string"]))
 
 
 def decode(streams: DataFrame, chunk: str | None = None) -> DataFrame:
     """(series_id[, chunk], place, ts_nanos, value) of each stream, place from 1 in the stream's order, counted on over the parts
-    of streams that have any (columns part and n_points). A column `before` holds states that segments are decoded from."""
+    of streams that have any (columns part and n_points). A column `before` holds states that segments are decoded from, a column `nulls` which times and
+    values are null (see _encoded)."""
     keys = ["series_id", *([chunk] if chunk else [])]
     types = [f"`{k}` {streams.schema[k].dataType.simpleString()}" for k in keys]
     earlier = F.lit(0).cast("bigint")
@@ -375,6 +383,7 @@ def decode(streams: DataFrame, chunk: str | None = None) -> DataFrame:
         over = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         earlier = F.coalesce(F.sum("n_points").over(over), F.lit(0)).cast("bigint")
     before = F.col("before") if "before" in streams.columns else F.lit(None).cast("string")
+    nulls = F.col("nulls") if "nulls" in streams.columns else F.lit(None).cast("binary")
     k_ = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +398,13 @@ def decode(streams: DataFrame, chunk: str | None = None) -> DataFrame:
                 counts, ts, values = decode_many([d or b"" for d in part.column(k_).to_pylist()], part.column(k_ + 1).to_pylist())
                 row = np.repeat(np.arange(j - i), counts)
                 place = np.arange(len(ts)) - np.repeat(np.cumsum(counts) - counts, counts) + 1 + part.column(k_ + 2).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in range(k_)), pa.array(place), pa.array(ts), pa.array(values)], [*keys, "place", "ts_nanos", "value"])
+                gone = np.zeros((2, len(ts)), bool)
+                for x, n, end in zip(part.column(k_ + 3).to_pylist(), counts, np.cumsum(counts), strict=True):
+                    if x is not None:
+                        gone[:, end - n : end] = np.unpackbits(np.frombuffer(x, np.uint8), count=2 * n).reshape(2, n)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in range(k_)), pa.array(place), pa.array(ts, mask=gone[0]), pa.array(values, mask=gone[1])], [*keys, "place", "ts_nanos", "value"])
 
-    return streams.select(*keys, "data", before.alias("before"), earlier.alias("earlier")).mapInArrow(run, ", ".join([*types, "place bigint", "ts_nanos bigint", "value double"]))
+    return streams.select(*keys, "data", before.alias("before"), earlier.alias("earlier"), nulls.alias("nulls")).mapInArrow(run, ", ".join([*types, "place bigint", "ts_nanos bigint", "value double"]))
 
 
 def encode_resumed(first: DataFrame, second: DataFrame, order: str = "arrival", most_points: int = PART_POINTS) -> DataFrame:

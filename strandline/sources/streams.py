@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import codec
 from strandline.sources.files import Files, Versions
 
-SEGMENT = "series_id string, part bigint, data binary, n_points bigint, before string, state string"
+SEGMENT = "series_id string, part bigint, data binary, n_points bigint, nulls binary, before string, state string"
 STATE = "series_id string, part bigint, state string"
 
 

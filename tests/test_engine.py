@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import codec
 from strandline.operators import chunks, commitlog, ingest, merge, read, tags
+from strandline.plans import catalogue
 from strandline.plans.engine import Engine
 from strandline.sources import generator, model, wire
 from strandline.sources.log import CommitLog, LogError, QueueFull
@@ -289,6 +291,22 @@ def test_null_arrivals_and_series_have_places_in_blocks(spark):
     assert [(r.ts_nanos, r.place) for r in merge.kway_merge(untimed, block=10).orderBy("place").collect()] == [(3, 1), (25, 2), (None, 3)]
 
 
+def test_encoded_points_keep_nulls(spark):
+    first = [("a", 5, 0.5, 1), ("a", None, 1.0, 2), ("a", 7, None, 3), (None, 1, 1.0, 4)]
+    second = [("a", 9, 0.0, 10), ("a", None, None, None), ("b", 2, 0.0, 11), ("b", 1, 0.0, None), (None, 2, 1.0, 12)]
+    for a, b in ((first, second), (first[::-1], second[::-1])):
+        got = codec.decode(codec.encode_resumed(points(spark, a).coalesce(1), points(spark, b).coalesce(1), most_points=2)).collect()
+        want = [("-", 1, 1, 1.0), ("-", 2, 2, 1.0), ("a", 1, 5, 0.5), ("a", 2, None, 1.0), ("a", 3, 7, None), ("a", 4, 9, 0.0), ("a", 5, None, None), ("b", 1, 2, 0.0), ("b", 2, 1, 0.0)]
+        assert sorted(((r.series_id or "-", r.place, r.ts_nanos, r.value) for r in got), key=lambda r: r[:2]) == want
+
+
+def test_state_resume_has_points_without_an_arrival(spark, tmp_path):
+    events = spark.createDataFrame([(1, 3, 1.0), (None, 2, 2.0), (100, 1, 3.0), (None, 4, None)], "event_id bigint, s int, value double")
+    events.selectExpr("event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s) ts", "7L user_id", "'view' event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.state_resume(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r.place, r.value) for r in got] == [(1, 1.0), (2, 3.0), (3, 2.0), (4, None)]
+
+
 def test_tied_arrivals_keep_their_order_through_a_flush(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/tied", "direct-compress")
     for k, rows in enumerate((TIED, TIED[::-1], TIED[::-1])):
