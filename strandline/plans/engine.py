@@ -58,7 +58,8 @@ class Engine:
             return self.spark.createDataFrame([], LOGGED)
         if self.log.state == "open" and self.log.pending(self.token) > self.log.queue_bytes:
             self.flush()
-        rows = points.select("series_id", "ts_nanos", "value", (F.lit((self.log.rotation_token() + 1) << ARRIVALS) + F.coalesce("arrival", F.lit(0))).alias("arrival"))
+        absent = (1 << ARRIVALS) - 1 if self.engine == "direct-compress" else 0  # there a point without an arrival is its batch's last
+        rows = points.select("series_id", "ts_nanos", "value", (F.lit((self.log.rotation_token() + 1) << ARRIVALS) + F.coalesce("arrival", F.lit(absent))).alias("arrival"))
         fine = F.col("series_id").isNotNull() & F.col("ts_nanos").isNotNull() & F.col("value").isNotNull()
         if self.engine == "raw-block":
             last = self.log.rows(self.token, "beside", LAST).groupBy("series_id").agg(F.max("last_ns").alias("last_ns"))

@@ -319,6 +319,16 @@ def test_tied_arrivals_keep_their_order_through_a_flush(spark, tmp_path):
                 e.flush()
 
 
+def test_null_arrivals_are_last_of_their_batch(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/absent", "direct-compress")
+    for flushed in (False, True):
+        e.write_batch(points(spark, [("a", 1, 0.0, None), ("a", 3, 1.0, 0), ("a", 2, 2.0, 5)]).coalesce(1))
+        assert times(e.read("a"))[-3:] == [3, 2, 1]
+        if not flushed:
+            e.flush()
+            assert times(e.read("a")) == [3, 2, 1]
+
+
 def test_compaction_splits_again_and_skips_empty_runs(spark):
     sizes = [30, 60, 20, 0, 90, 5, 200, 1]
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate(sizes)], "series_id string, run bigint, size_bytes bigint")
